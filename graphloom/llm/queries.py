@@ -28,6 +28,34 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
+
+
+def op7_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    scores = quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    out = quality.resample(scores, docs.count() // 2)
+    return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("log_weight", "mean_ratio", "lowest", "gumbel")), "kept", "sampled")
+
+
 def op10_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
