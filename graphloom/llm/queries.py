@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_output
 
@@ -35,6 +41,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
+def op6_bottom_k_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embed_dedup
 
