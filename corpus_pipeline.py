@@ -1,8 +1,61 @@
-"""Corpus pipeline: stages over documents, each written and read again."""
+"""Corpus pipeline: quality, lines, near documents, benchmark passages, packing; each stage written and read again.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a frame; all but the last keep the columns of documents. A stage
+sees exactly what its predecessor kept.
+
+* quality: documents that the importance-resampling classifier rejects go; its models count the stage's own input.
+* lines: redundant lines go; a document that had text and has none left is a copy and goes too.
+* near documents: of each group of near copies the smallest doc_id stays.
+* decontamination: documents that hold a window of a benchmark item go.
+* packing: the rest becomes sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate, line_dedup, minhash, packing, quality
+from graphloom.llm._text import shared_dir
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return quality.judged(docs, model, ["text", *extra]).filter("kept").select(*docs.columns)
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(docs)
+    emptied = (F.col("_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
+    out = out.filter(~F.coalesce(emptied, F.lit(False)))
+    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = minhash.dedup(docs, k=5).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return found.filter(F.size("spans") == 0).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_filter), ("lines", line_filter), ("near documents", near_filter), ("decontamination", benchmark_filter), ("packing", pack)]
+
+#: Tokenisation and trained models are beyond SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -121,13 +121,15 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iter
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every document: its words, the word ranges hit (merged), the items found."""
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """For every document: its words, the word ranges hit (merged), the items found, and the columns to keep."""
     spark = docs.sparkSession
     few = int(benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]) <= block_bytes
-    keep = [id_col] if few else [id_col, "_uid"]
-    docs = docs.select(id_col, text_col) if few else stored(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_uid")), "decontam")
-    docs = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
+    keep = list(keep or [id_col])
+    docs = docs.select(*keep, F.col(text_col).alias("_text"))
+    if not few:
+        docs = stored(docs.withColumn("_uid", F.monotonically_increasing_id()), "decontam")
+        keep.append("_uid")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
     def one(block: list) -> DataFrame:
@@ -135,7 +137,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value)
-            for rows, data, off in slices(batches):
+            for rows, data, off in slices(batches, "_text"):
                 n, found = index.search(data, off)
                 spans, items = [[] for _ in n], [set() for _ in n]
                 for t, p, m, got in sorted(found, key=lambda x: (x[0], x[1], x[2])):

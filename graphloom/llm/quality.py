@@ -1,12 +1,13 @@
 """Quality classifier by importance resampling.
 
-Two bag-of-n-grams models over BUCKETS hashed words and word pairs: one of target text (documents labelled good and not
-toxic), one of raw text (all documents). A document's log weight is the sum over its n-grams of log p_target - log p_raw.
-Gumbel noise, a function of the seed and doc_id, is added to it, and the k highest are the resampled corpus.
+Two generative models over BUCKETS hashed byte n-grams: one of target text (documents labelled good and not toxic), one
+of raw text (all documents). Each n-gram has the log of its target count over the count that the raw model expects
+there, both smoothed by PRIOR, so n-grams too rare to tell count for nothing. A document's log weight is the sum over
+its n-grams. Gumbel noise, a function of the seed and doc_id, is added to it, and the k highest are the resampled corpus.
 
-For the decision to keep a document two statistics of the same log ratios are used: their mean, and the lowest sum over
-WINDOW consecutive words, which shows a few foul words in a long clean text. Both thresholds are set on labelled
-documents that the models did not see: as high as they can be while at most FALSE_REJECTS of the good ones fall under.
+For the decision to keep a document two statistics of the same log ratios are used: their mean, and the lowest sum of
+negative ones over WINDOW n-grams in a row, which shows one foul word in a long clean text. Both thresholds are set on
+labelled documents that the models did not see: as high as they can be while at most FALSE_REJECTS of the good fall under.
 
 The labelled rows used are a sample of at most MAX_LABELS, by hash of doc_id. Raw counts cover all documents. Only the
 BUCKETS counts come to the driver, whatever the corpus.
@@ -24,27 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import LOWER, column, grams, prefix_hash, slices, sliding, span_hash, words
-from .decontaminate import IS_WORD
+from ._text import column, mix, powers, prefix_hash, slices
 
+GRAM = 5
 BUCKETS = 1 << 18
-WINDOW = 8
+WINDOW = 6
 MAX_LABELS = 40_000
 FALSE_REJECTS = 0.002
-SMOOTH = 1.0
+PRIOR = 5.0
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of every word, bucket of the pair that it starts (-1 at the end of a text), first word of each text."""
-    data = LOWER[data]
-    start, end, first = words(data, off, IS_WORD)
-    h = span_hash(prefix_hash(data), start, end)
-    one = (h % np.uint64(BUCKETS)).astype(np.int64)
-    two = np.full(len(h), -1, np.int64)
-    if len(h) > 1:
-        two[:-1] = (grams(h, 2) % np.uint64(BUCKETS)).astype(np.int64)
-    two[first[1:][first[1:] > first[:-1]] - 1] = -1
-    return one, two, first
+def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bucket of the n-gram that starts at each byte; -1 where the text ends before it does."""
+    out, n = np.full(len(data), -1, np.int32), len(data) - GRAM + 1
+    if n > 0:
+        s = prefix_hash(data)
+        h = mix((s[GRAM:] - s[:-GRAM]) * powers(len(s))[1][:n])
+        out[:n] = (h >> np.uint64(20)) % np.uint64(BUCKETS)
+    for k in range(1, GRAM):
+        last = off[1:] - k
+        out[last[last >= off[:-1]]] = -1
+    return out
 
 
 def counted(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +54,11 @@ def counted(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for rows, data, off in slices(batches):
-            one, two, first = features(data, off)
-            mine = np.repeat(np.isin(np.asarray(column(rows, "doc_id").fill_null(-1)), target_ids), np.diff(first))
-            for x, m in ((one, mine), (two[two >= 0], mine[two >= 0])):
-                raw += np.bincount(x, minlength=BUCKETS)
-                target += np.bincount(x[m], minlength=BUCKETS)
+            b = features(data, off)
+            mine = np.repeat(np.isin(np.asarray(column(rows, "doc_id").fill_null(-1)), target_ids), np.diff(off))
+            whole = b >= 0
+            raw += np.bincount(b[whole], minlength=BUCKETS)
+            target += np.bincount(b[whole & mine], minlength=BUCKETS)
         at = np.flatnonzero(raw)
         for a in range(0, len(at), 1 << 16):
             i = at[a : a + (1 << 16)]
@@ -78,26 +79,22 @@ def scored(docs: DataFrame, ratio: np.ndarray, extra: list[str] = ()) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = sent.value
         for rows, data, off in slices(batches):
-            one, two, first = features(data, off)
-            single = r[one] if len(one) else np.zeros(0)
-            both = single + np.where(two >= 0, r[np.maximum(two, 0)], 0.0) if len(one) else single
-            sums = np.concatenate([[0.0], np.cumsum(both)])
-            weight = sums[first[1:]] - sums[first[:-1]]
-            n = np.diff(first)
-            low = np.zeros(len(n))
-            if len(single):
-                pad = np.concatenate([single, np.zeros(WINDOW)])
-                c = np.concatenate([[0.0], np.cumsum(np.minimum(pad, 0.0))])
-                text_end = np.repeat(first[1:], n)
-                at = np.arange(len(single))
-                window = c[np.minimum(at + WINDOW, text_end)] - c[at]
-                some = n > 0
-                low[some] = np.minimum.reduceat(window, first[:-1][some])
+            b = features(data, off)
+            single = np.where(b >= 0, r[np.maximum(b, 0)], 0.0)
+            sums = np.concatenate([[0.0], np.cumsum(single)])
+            weight, size = sums[off[1:]] - sums[off[:-1]], np.diff(off)
+            n = np.maximum(size - GRAM + 1, 0)
+            c = np.concatenate([[0.0], np.cumsum(np.minimum(single, 0.0))])
+            at = np.arange(len(single))
+            window = c[np.minimum(at + WINDOW, np.repeat(off[1:], size))] - c[at]
+            low, some = np.zeros(len(n)), size > 0
+            if some.any():
+                low[some] = np.minimum.reduceat(window, off[:-1][some])
             cols = [column(rows, c) for c in keep] + [pa.array(weight), pa.array(np.where(n > 0, weight / np.maximum(n, 1), 0.0)), pa.array(low), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "log_weight", "mean_ratio", "lowest", "n_words"])
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "log_weight", "mean_ratio", "lowest", "n_grams"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, log_weight double, mean_ratio double, lowest double, n_words long")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, log_weight double, mean_ratio double, lowest double, n_grams long")
 
 
 def threshold(good: np.ndarray, bad: np.ndarray, allowed: float) -> float:
@@ -117,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> dic
     held = (sample.h.to_numpy() % 4 == 0)
     ids = sample.doc_id.to_numpy(np.int64)
     raw, target = counted(docs, np.unique(ids[good & ~held]))
-    ratio = np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
+    ratio = np.log((target + PRIOR) / (raw * (target.sum() / max(1.0, raw.sum())) + PRIOR)) if target.any() else np.zeros(BUCKETS)
     seen = docs.sparkSession.createDataFrame(sample[held][["doc_id"]].astype("int64")) if held.any() else docs.sparkSession.createDataFrame([], "doc_id long")
     got = scored(docs.join(F.broadcast(seen.distinct()), "doc_id", "left_semi"), ratio).toPandas()
     label = dict(zip(ids[held], good[held], strict=True))
@@ -137,7 +134,7 @@ def judged(docs: DataFrame, model: dict, extra: list[str] = ()) -> DataFrame:
     for c in ("mean_ratio", "lowest"):
         if np.isfinite(model[c]):
             ok = ok & (F.col(c) >= F.lit(model[c]))
-    return scored(docs, model["ratio"], extra).withColumn("kept", (F.col("n_words") == 0) | ok)
+    return scored(docs, model["ratio"], extra).withColumn("kept", (F.col("n_grams") == 0) | ok)
 
 
 def resample(scores: DataFrame, k: int, seed: int = 11) -> DataFrame:
