@@ -3,7 +3,8 @@
 Two codebooks, one for each half of the unit vectors, span a product grid; a vector belongs to the cell of its nearest
 centroids. A search visits cells in order of the sum of both halves' distances (multi-sequence order). How many it
 visits is set so that, for sample vectors turned by exactly the threshold angle in a random direction, the cell of the
-turned vector is among them with probability TARGET. Every vector is indexed and every vector searches; what it meets
+turned vector is among them with probability TARGET; as both vectors of a pair search, fewer than 1 - TARGET of such
+pairs are missed, and closer ones hardly ever. Every vector is indexed and every vector searches; what it meets
 is verified by cosine in double precision.
 
 Equal vectors are one class with a weight, so copies are never compared. Cells are cut into blocks of at most BLOCK
@@ -32,10 +33,10 @@ from ._graph import components
 from ._text import stored
 
 THRESHOLD = 0.9
-TARGET = 0.995
+TARGET = 0.95
 SAMPLE = 20_000
 BLOCK = 1024
-PER_CELL = 128
+PER_CELL = 512
 MOST_CENTROIDS = 256
 
 
@@ -167,47 +168,44 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     placed = stored(classes.mapInPandas(place, "rep long, w long, vec binary, cell long, probes binary, visits array<int>"), "placed")
     members = placed.select("cell", "rep", "w", "vec", "probes")
-    searchers = placed.select(F.explode(F.col("visits").cast("array<long>")).alias("cell"), "rep", "w", "vec", F.col("cell").alias("own"))
-
-    def blocks(rows: DataFrame, extra: str) -> DataFrame:
-        """Rows of a cell packed into blocks: one row a block."""
-        counts = rows.groupBy("cell").agg(F.count("*").alias("n"))  # at most one row a cell of the grid
-        salted = rows.join(F.broadcast(counts), "cell").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-        packed = salted.groupBy("cell", "blk").agg(F.collect_list(F.struct("rep", "w", "vec", extra)).alias("rows"))
-        return packed
-
-    m = blocks(members, "probes").withColumnRenamed("blk", "mb").withColumnRenamed("rows", "members")
-    s = blocks(searchers, "own").withColumnRenamed("blk", "sb").withColumnRenamed("rows", "searchers")
+    searchers = placed.select(F.explode(F.col("visits").cast("array<long>")).alias("cell"), F.col("rep").alias("srep"), F.col("w").alias("sw"), F.col("vec").alias("svec"), F.col("cell").alias("own"))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Number of blocks of each cell: at most one row a cell of the grid."""
+        return rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+
+    per = blocks(members).withColumnRenamed("n", "mn").join(blocks(searchers).withColumnRenamed("n", "sn"), "cell")
+    per = F.broadcast(stored(per, "cells"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("mn")).cast("int"), F.pmod(F.xxhash64("srep"), F.col("sn")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("sn") - 1)), F.explode(F.sequence(F.lit(0), F.col("mn") - 1))
+    m = members.join(per, "cell").select("cell", mine[0].alias("mb"), every[0].alias("sb"), "rep", "w", "vec", "probes")
+    s = searchers.join(per, "cell").select("cell", every[1].alias("mb"), mine[1].alias("sb"), "srep", "sw", "svec", "own")
     least = threshold
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for mem, sea, cell in zip(b.members, b.searchers, b.cell, strict=True):
-                mr, sr = np.array([r["rep"] for r in mem], np.int64), np.array([r["rep"] for r in sea], np.int64)
-                mw, sw = np.array([r["w"] for r in mem], np.int64), np.array([r["w"] for r in sea], np.int64)
-                cos = unit([r["vec"] for r in sea], dim) @ unit([r["vec"] for r in mem], dim).T
-                link = cos >= least
-                link &= sr[:, None] != mr[None]
-                some = np.flatnonzero(link.any(1))
-                if not len(some):
-                    continue
-                # If the member's own search comes to the searcher's cell, both meet twice: the smaller id counts.
-                own = np.array([r["own"] for r in sea], np.int64)
-                back = np.zeros_like(link)
-                probes = np.stack([np.frombuffer(r["probes"], "<i4") for r in mem])
-                for o in np.unique(own[some]).tolist():
-                    at = (probes == o).any(1)
-                    rows = np.flatnonzero(own == o)
-                    back[rows] = at[None]
-                counted = link & (~back | (sr[:, None] < mr[None]))
-                edges = forest(counted, sr, mr)
-                one, two = counted @ mw, counted.T @ sw
-                out = [(int(i), int(k), None) for i, k in zip(sr, one, strict=True) if k] + [(int(i), int(k), None) for i, k in zip(mr, two, strict=True) if k]
-                out += [(a, 0, c) for a, c in edges]
-                if out:
-                    yield pd.DataFrame(out, columns=["rep", "k", "other"]).astype({"rep": "int64", "k": "int64", "other": "Int64"})
-
-    found = stored(m.join(s, "cell").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "cell", "mb", "sb").mapInPandas(compare, "rep long, k long, other long"), "links")
+    def compare(mem: pd.DataFrame, sea: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"rep": np.zeros(0, np.int64), "k": np.zeros(0, np.int64), "other": pd.array([], "Int64")})
+        if not len(mem) or not len(sea):
+            return none
+        mr, sr, mw, sw = mem.rep.to_numpy(), sea.srep.to_numpy(), mem.w.to_numpy(), sea.sw.to_numpy()
+        link = unit(list(sea.svec), dim) @ unit(list(mem.vec), dim).T >= least
+        link &= sr[:, None] != mr[None]
+        some = np.flatnonzero(link.any(1))
+        if not len(some):
+            return none
+        # If the member's own search comes to the searcher's cell, both meet twice: the smaller id counts.
+        own, probes = sea.own.to_numpy(), np.frombuffer(b"".join(mem.probes), "<i4").reshape(len(mem), -1)
+        back = np.zeros_like(link)
+        for o in np.unique(own[some]).tolist():
+            back[np.flatnonzero(own == o)] = (probes == o).any(1)[None]
+        counted = link & (~back | (sr[:, None] < mr[None]))
+        one, two, edges = counted @ mw, counted.T @ sw, np.array(forest(counted, sr, mr), np.int64).reshape(-1, 2)
+        ids = np.concatenate([sr[one > 0], mr[two > 0], edges[:, 0]])
+        k = np.concatenate([one[one > 0], two[two > 0], np.zeros(len(edges), np.int64)])
+        other = pd.array([None] * (len(ids) - len(edges)) + edges[:, 1].tolist(), "Int64")
+        return pd.DataFrame({"rep": ids, "k": k, "other": other})
+
+    pairs = m.groupBy("cell", "mb", "sb").cogroup(s.groupBy("cell", "mb", "sb"))
+    found = stored(pairs.applyInPandas(compare, "rep long, k long, other long"), "links")
     counts = found.groupBy("rep").agg(F.sum("k").alias("k"))
     comp = components(found.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = classes.join(counts, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
