@@ -39,7 +39,7 @@ from .suffix_array import common_prefixes, suffix_array
 SPAN, ANCHOR = 50, 24
 BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 8 << 20
-BROADCAST_BYTES = 32 << 20
+PARTS = 16  # a shard is worked on in so many parts, again by anchor, to bound memory
 POS_BITS = 26
 NULL_ID = np.iinfo(np.int64).max
 
@@ -110,11 +110,8 @@ def distinct_runs(runs: Runs, doc: np.ndarray, shards: int, span: int) -> tuple[
     return example, doc[runs.text[example]], np.searchsorted(shard[example], np.arange(shards + 1).astype(np.uint64)), index
 
 
-def shard_masks(blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], span: int) -> list[np.ndarray]:
-    """For each block's runs (bytes, lengths, smallest doc_ids): a bit for every window that starts in a smaller one."""
-    lengths = np.concatenate([b[1] for b in blobs]).astype(np.int64)
-    data = np.concatenate([b[0] for b in blobs])
-    doc = np.concatenate([b[2] for b in blobs])
+def shard_masks(data: np.ndarray, lengths: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
+    """For each run (bytes, length, smallest doc_id): a bit for every window that also starts in a smaller document."""
     start = np.cumsum(lengths) - lengths
     view = data.tobytes()
     seen: dict[bytes, int] = {}
@@ -142,8 +139,7 @@ def shard_masks(blobs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], span: in
     n = lengths - span + 1
     j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     hit = answer[np.repeat(first[which], n) + j] < np.repeat(doc, n)
-    masks = np.bitwise_or.reduceat(np.where(hit, np.uint32(1) << j.astype(np.uint32), np.uint32(0)), np.cumsum(n) - n)
-    return np.split(masks.astype("<u4"), np.cumsum([len(b[1]) for b in blobs])[:-1])
+    return np.bitwise_or.reduceat(np.where(hit, np.uint32(1) << j.astype(np.uint32), np.uint32(0)), np.cumsum(n) - n)
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
@@ -219,15 +215,11 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_col: str =
     sent = blocks.mapInArrow(send_anchors, "shard int, block long, anchors binary, multi binary")
     bits = stored(sent.groupBy("shard").applyInPandas(repeated, "block long, shard int, bits binary"), "bits")
 
-    def with_answers(answers: DataFrame, value: str) -> DataFrame:
-        size = int(answers.agg(F.coalesce(F.sum(F.octet_length(value) + 40), F.lit(0))).first()[0])
-        by = answers.groupBy("block").agg(F.collect_list(F.struct("shard", value)).alias(value))
-        return blocks.join(F.broadcast(by) if size <= BROADCAST_BYTES else by, "block", "left")
+    def by_block(answers: DataFrame, value: str) -> DataFrame:
+        return answers.groupBy("block").agg(F.collect_list(F.struct("shard", value)).alias(value))
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            if not row["bits"]:
-                continue
             ids, runs = unpacked(row, span, anchor)
             _, _, begin, index = sorted_anchors(runs, shards)
             runs.keep(marked(row["bits"], begin)[index])
@@ -235,20 +227,29 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_col: str =
             size = runs.count[example] + span - 1
             first = np.concatenate([[0], np.cumsum(size)])
             data = runs.data[np.arange(int(first[-1])) + np.repeat(runs.start[example] - first[:-1], size)]
+            part = ((runs.hash[example] >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8)
             full = np.flatnonzero(np.diff(begin))
             cut = [(int(begin[s]), int(begin[s + 1])) for s in full]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array([data[first[a] : first[b]].tobytes() for a, b in cut], pa.binary()), pa.array([size[a:b].astype(np.uint8).tobytes() for a, b in cut], pa.binary()), pa.array([least[a:b].astype("<i8").tobytes() for a, b in cut], pa.binary())],
-                ["shard", "block", "data", "size", "least"],
+                [pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array([part[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([data[first[a] : first[b]].tobytes() for a, b in cut], pa.binary()), pa.array([size[a:b].astype(np.uint8).tobytes() for a, b in cut], pa.binary()), pa.array([least[a:b].astype("<i8").tobytes() for a, b in cut], pa.binary())],
+                ["shard", "block", "part", "data", "size", "least"],
             )
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        blobs = [(np.frombuffer(d, np.uint8), np.frombuffer(s, np.uint8), np.frombuffer(m, "<i8")) for d, s, m in zip(pdf.data, pdf["size"], pdf.least, strict=True)]
-        return pd.DataFrame({"block": pdf.block.to_numpy(), "shard": pdf.shard.to_numpy(), "masks": [m.tobytes() for m in shard_masks(blobs, span)]})
-
-    runs_sent = with_answers(bits, "bits").mapInArrow(send_runs, "shard int, block long, data binary, size binary, least binary")
+        part, size = (np.frombuffer(b"".join(pdf[c]), np.uint8) for c in ("part", "size"))
+        data, least = np.frombuffer(b"".join(pdf.data), np.uint8), np.frombuffer(b"".join(pdf.least), "<i8")
+        size = size.astype(np.int64)
+        first, masks = np.cumsum(size) - size, np.zeros(len(size), "<u4")
+        for p in range(PARTS):
+            i = np.flatnonzero(part == p)
+            if len(i):
+                n = size[i]
+                masks[i] = shard_masks(data[np.arange(int(n.sum())) + np.repeat(first[i] - (np.cumsum(n) - n), n)], n, least[i], span)
+        cut = np.cumsum(pdf.part.map(len).to_numpy())[:-1]
+        return pd.DataFrame({"block": pdf.block.to_numpy(), "shard": pdf.shard.to_numpy(), "masks": [m.tobytes() for m in np.split(masks, cut)]})
+
+    runs_sent = blocks.join(by_block(bits, "bits"), "block").mapInArrow(send_runs, "shard int, block long, part binary, data binary, size binary, least binary")
     masks = stored(runs_sent.groupBy("shard").applyInPandas(answer, "block long, shard int, masks binary"), "masks")
-    by_bits = bits.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("bits"))
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>" + (", kept_bytes binary" if with_text else "")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,5 +286,4 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_col: str =
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_bytes"][: len(cols)])
 
-    size = int(bits.agg(F.coalesce(F.sum(F.octet_length("bits") + 40), F.lit(0))).first()[0])
-    return with_answers(masks, "masks").join(F.broadcast(by_bits) if size <= BROADCAST_BYTES else by_bits, "block", "left").mapInArrow(finish, fields)
+    return blocks.join(by_block(masks, "masks"), "block", "left").join(by_block(bits, "bits"), "block", "left").mapInArrow(finish, fields)
