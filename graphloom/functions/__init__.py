@@ -1 +1,44 @@
-"""graphloom.functions"""
+"""Column helpers with Python's semantics where Spark's differ."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def strip(c: Column | str) -> Column:
+    """All white space at both ends, as Python sees it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def lines(c: Column | str) -> Column:
+    """Split at newlines; a trailing newline gives a last empty line."""
+    return F.split(c, "\n", -1)
+
+
+def count_matches(c: Column | str, patterns: list[str], flags: str = "(?im)") -> Column:
+    """Matches of all patterns in one text."""
+    total = F.lit(0)
+    for p in patterns:
+        total = total + F.regexp_count(c, F.lit(flags + p))
+    return total
+
+
+def suffix(path: Column | str) -> Column:
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+
+
+def language(path: Column | str) -> Column:
+    """python, javascript, typescript or tsx by suffix; null for other files."""
+    kinds = F.create_map(*(F.lit(x) for pair in ((".py", "python"), (".js", "javascript"), (".jsx", "javascript"), (".ts", "typescript"), (".tsx", "tsx")) for x in pair))
+    return F.element_at(kinds, F.nullif(suffix(path), F.lit("")))
+
+
+def pct(c: Column) -> Column:
+    """A share as whole per cent, halves to even."""
+    return F.bround(c * 100, 0).cast("int")
+
+
+def div(a: Column, b: Column) -> Column:
+    """a / b, 0 where b is 0."""
+    return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)

@@ -1,9 +1,528 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the supplied tables, each with the SQL that says the same.
 
+The tables hold no source code, so every operator runs on a relational shape like its own: parts and suppliers as
+functions and files, order lines as calls, documents as added code, events as findings.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import lines, strip
+from ..operators import authorship as au
+from ..operators import cost, detect, diffs, evaluate, graph, rank, snapshots, stats, traverse, windows
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+CALLS = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3"
+HOLDS = "SELECT concat('s', p_partkey % 50) AS src, concat('p', p_partkey) AS dst FROM part"
+NODES = "SELECT concat('p', p_partkey) AS id, 'function' AS type, p_name AS name FROM part UNION ALL SELECT DISTINCT concat('s', p_partkey % 50), 'file', NULL FROM part"
+EDGES = f"SELECT src, dst, 'calls' AS type FROM ({CALLS}) UNION ALL SELECT src, dst, 'contains' FROM ({HOLDS})"
+
+
+def call_edges(s: SparkSession, sf: str) -> DataFrame:
+    li = t(s, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity < 3")
+    return li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().withColumn("type", F.lit("calls"))
+
+
+def edges(s: SparkSession, sf: str) -> DataFrame:
+    holds = t(s, sf, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 50).alias("src"), F.concat(F.lit("p"), "p_partkey").alias("dst"), F.lit("contains").alias("type"))
+    return call_edges(s, sf).unionByName(holds)
+
+
+def nodes(s: SparkSession, sf: str) -> DataFrame:
+    p = t(s, sf, "part")
+    fn = p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("function").alias("type"), F.col("p_name").alias("name"), F.concat(F.lit("s"), F.col("p_partkey") % 50).alias("file"))
+    files = p.select(F.concat(F.lit("s"), F.col("p_partkey") % 50).alias("id")).distinct().select("id", F.lit("file").alias("type"), F.lit(None).cast("string").alias("name"), F.col("id").alias("file"))
+    return fn.unionByName(files)
+
+
+# ---- graph
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), r(node, depth) AS (SELECT src, 1 FROM e WHERE dst = 's7' UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 5) SELECT node, min(depth)::INT AS depth, min(depth) = 1 AS direct_caller FROM r GROUP BY node")
+def q_blast_radius(s, sf):
+    return traverse.blast_radius(edges(s, sf), "s7", 5).select("node", F.col("depth").cast("int").alias("depth"), "direct_caller")
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), r(node, depth) AS (SELECT src, 1 FROM e WHERE dst = 's7' UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 5), m AS (SELECT node, min(depth) AS d FROM r GROUP BY node) SELECT count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d > 1) AS indirect FROM m")
+def q_blast_summary(s, sf):
+    return traverse.blast_summary(traverse.blast_radius(edges(s, sf), "s7", 5)).select("direct", "indirect")
+
+
+_TWO = f"""WITH e AS ({EDGES}), u1 AS (SELECT DISTINCT src AS node FROM e WHERE dst = 's7' AND src <> 's7'),
+u2 AS (SELECT DISTINCT e.src AS node FROM e JOIN u1 ON e.dst = u1.node WHERE e.src <> 's7' AND e.src NOT IN (SELECT node FROM u1)),
+up AS (SELECT 's7' AS node UNION SELECT node FROM u1 UNION SELECT node FROM u2),
+d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src = 's7' AND dst NOT IN (SELECT node FROM up)),
+d2 AS (SELECT DISTINCT e.dst AS node FROM e JOIN d1 ON e.src = d1.node WHERE e.dst NOT IN (SELECT node FROM up) AND e.dst NOT IN (SELECT node FROM d1)),
+area AS (SELECT node FROM up UNION SELECT node FROM d1 UNION SELECT node FROM d2)"""
+
+
+@query(_TWO + " SELECT node FROM area")
+def q_neighborhood(s, sf):
+    return traverse.neighborhood(edges(s, sf), "s7", 2, 1 << 30).select("node")
+
+
+@query(
+    _TWO.replace("WITH e", "WITH RECURSIVE e")
+    + """, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), i AS (SELECT * FROM b WHERE src IN (SELECT node FROM area) AND dst IN (SELECT node FROM area)),
+w(node, d) AS (SELECT 's7', 0 UNION SELECT i.dst, w.d + 1 FROM w JOIN i ON i.src = w.node WHERE w.d < 6), m AS (SELECT node, min(d) AS dist FROM w GROUP BY node)
+SELECT area.node, coalesce(m.dist, 999)::INT AS dist FROM area LEFT JOIN m USING (node) ORDER BY dist, node LIMIT 30"""
+)
+def q_subgraph_cap(s, sf):
+    return traverse.neighborhood(edges(s, sf), "s7", 2, 30).select("node", F.col("dist").cast("int").alias("dist"))
+
+
+@query(f"WITH e AS ({EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT dst AS node FROM ({CALLS})), one AS (SELECT n.node AS source, b.dst AS node FROM n JOIN b ON b.src = n.node), two AS (SELECT source, node FROM one UNION SELECT one.source, b.dst FROM one JOIN b ON b.src = one.node) SELECT n.node AS source, (SELECT count(DISTINCT node) FROM two WHERE two.source = n.node AND two.node <> n.node) + 1 AS size FROM n")
+def q_neighborhood_sizes(s, sf):
+    e = edges(s, sf)
+    return traverse.neighborhood_sizes(e, e.filter("type = 'calls'").select(F.col("dst").alias("node")).distinct(), 2)
+
+
+@query(f"WITH z AS (SELECT src AS node, count(*) AS size FROM ({EDGES}) GROUP BY src), l AS (SELECT list_sort(list(size)) AS s, count(*) AS n, count(*) FILTER (WHERE size > 5) AS o, median(size) AS m, max(size) AS x FROM z) SELECT m::DOUBLE AS median, s[(floor(0.9 * (n - 1)) + 1)::INT] AS p90, x AS most, round(100.0 * o / n, 6) AS over_pct FROM l")
+def q_cap_study(s, sf):
+    return traverse.cap_study(edges(s, sf).groupBy("src").agg(F.count("*").alias("size")), 5).withColumn("over_pct", F.round("over_pct", 6))
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), st AS (SELECT DISTINCT dst AS source FROM ({CALLS})), r(source, node, depth) AS (SELECT source, source, 0 FROM st UNION SELECT r.source, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4), m AS (SELECT source, node, min(depth) AS d FROM r GROUP BY ALL) SELECT source, max(d)::BIGINT AS depth FROM m GROUP BY source")
+def q_downstream_depth(s, sf):
+    e = edges(s, sf)
+    return traverse.downstream_depth(e, e.filter("type = 'calls'").select(F.col("dst").alias("node")).distinct(), 4)
+
+
+@query(f"WITH n AS ({NODES}), e AS ({EDGES}) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE type = 'file') AS file_nodes, (SELECT count(*) FROM n WHERE type = 'function') AS function_nodes, 0::BIGINT AS class_nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE type = 'contains') AS contains_edges, 0::BIGINT AS imports_edges, (SELECT count(*) FROM e WHERE type = 'calls') AS calls_edges")
+def q_graph_stats(s, sf):
+    return graph.stats(nodes(s, sf), edges(s, sf))
+
+
+@query(f"WITH d AS (SELECT dst AS id, count(*) AS in_degree FROM ({CALLS}) GROUP BY dst), n AS ({NODES}) SELECT d.id, n.name, d.in_degree FROM d JOIN n ON n.id = d.id ORDER BY in_degree DESC, d.id LIMIT 15")
+def q_hotspots(s, sf):
+    return graph.hotspots(nodes(s, sf), edges(s, sf))
+
+
+@query(f"SELECT type, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ({EDGES}) GROUP BY type")
+def q_edge_histogram(s, sf):
+    return graph.edge_histogram(edges(s, sf))
+
+
+@query("SELECT 's' || (p_partkey % 50) AS parent, string_agg(p_name, ',' ORDER BY p_name) AS names FROM part GROUP BY ALL")
+def q_file_tree(s, sf):
+    f = t(s, sf, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 50, F.lit("/"), "p_name").alias("rel"))
+    return graph.file_tree(f).select("parent", F.array_join("names", ",").alias("names"))
+
+
+def snapshot(s, sf, post: bool):
+    li = t(s, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity < 3").filter(F.col("l_shipdate") >= "1998-01-01" if post else F.col("l_shipdate") < "1998-06-01")
+    e = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().withColumn("type", F.lit("calls"))
+    n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return n.join(nodes(s, sf).select("id", "name"), "id", "left"), e
+
+
+_SNAP = "a AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 AND l_shipdate < '1998-06-01'), b AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 AND l_shipdate >= '1998-01-01'), pre AS (SELECT src AS id FROM a UNION SELECT dst FROM a), post AS (SELECT src AS id FROM b UNION SELECT dst FROM b)"
+
+
+@query(f"WITH {_SNAP} SELECT id FROM post EXCEPT SELECT id FROM pre")
+def q_diff_activated(s, sf):
+    return snapshots.activated(snapshot(s, sf, False)[0], snapshot(s, sf, True)[0])
+
+
+@query(f"WITH {_SNAP} SELECT id FROM pre EXCEPT SELECT id FROM post")
+def q_diff_deleted(s, sf):
+    return snapshots.deleted(snapshot(s, sf, False)[0], snapshot(s, sf, True)[0])
+
+
+@query(f"WITH {_SNAP} SELECT src AS caller, dst AS missing_callee, 'calls' AS edge_type FROM a WHERE src IN (SELECT id FROM post) AND dst NOT IN (SELECT id FROM post)")
+def q_broken_edges(s, sf):
+    return snapshots.broken_edges(snapshot(s, sf, False)[1], snapshot(s, sf, True)[0]).select("caller", "missing_callee", "edge_type")
+
+
+@query(f"WITH {_SNAP}, g AS (SELECT p.id, n.p_name AS name FROM pre p JOIN part n ON p.id = concat('p', n.p_partkey) WHERE p.id NOT IN (SELECT id FROM post)) SELECT id, name, concat_ws(',', CASE WHEN contains(name, 'bolt') THEN 'bolt' END, CASE WHEN contains(name, 'ring') THEN 'ring' END, CASE WHEN contains(name, 'widget') THEN 'widget' END) AS matched, (SELECT count(*) FROM a WHERE a.dst = g.id) AS in_degree FROM g WHERE contains(name, 'bolt') OR contains(name, 'ring') OR contains(name, 'widget')")
+def q_security_deletions(s, sf):
+    (pre, e), (post, _) = snapshot(s, sf, False), snapshot(s, sf, True)
+    return snapshots.security_deletions(pre, e, post, ["bolt", "ring", "widget"]).select("id", "name", F.array_join("matched", ",").alias("matched"), "in_degree")
+
+
+@query("WITH i AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS k FROM part UNION SELECT DISTINCT array_to_string(string_split(p_type, ' ')[1:2], ' ') FROM part WHERE p_size > 25), n AS (SELECT DISTINCT p_type AS name FROM part), p AS (SELECT name, unnest(range(1, len(string_split(name, ' ')) + 1)) AS j FROM n), c AS (SELECT name, j, array_to_string(string_split(name, ' ')[1:j], ' ') AS k FROM p) SELECT c.name, arg_max(c.k, c.j) AS rel, max(c.j)::INT AS segments FROM c JOIN i ON i.k = c.k GROUP BY c.name")
+def q_longest_prefix(s, sf):
+    p = t(s, sf, "part")
+    index = p.select(F.substring_index("p_type", " ", 1).alias("module")).union(p.filter("p_size > 25").select(F.substring_index("p_type", " ", 2))).distinct().withColumn("rel", F.col("module"))
+    out = graph.longest_prefix(p.select(F.col("p_type").alias("name")), index, sep=" ")
+    return out.select("name", "rel", F.col("segments").cast("int").alias("segments"))
+
+
+@query("WITH c AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS name FROM pages), i AS (SELECT split_part(name, '/', 1) AS key, max(page_id) AS id FROM c GROUP BY 1 UNION ALL SELECT reverse(split_part(reverse(name), '.', 1)), min(page_id) FROM c WHERE contains(name, '.') GROUP BY 1), u AS (SELECT key, min(id) AS id FROM i GROUP BY key) SELECT c.page_id, coalesce(a.id, b.id) AS target FROM c LEFT JOIN u a ON a.key = c.name LEFT JOIN u b ON contains(c.name, '.') AND b.key = reverse(split_part(reverse(c.name), '.', 1))")
+def q_call_resolution(s, sf):
+    c = t(s, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("name"))
+    index = c.groupBy(F.substring_index("name", "/", 1).alias("key")).agg(F.max("page_id").alias("id")).union(c.filter(F.col("name").contains(".")).groupBy(F.substring_index("name", ".", -1).alias("key")).agg(F.min("page_id").alias("id")))
+    return graph.resolve_calls(c, index.groupBy("key").agg(F.min("id").alias("id"))).select("page_id", "target")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey")
+def q_first_last_wins(s, sf):
+    o = t(s, sf, "orders")
+    a = graph.winner(o, ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("first_order"))
+    b = graph.winner(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", F.col("o_orderkey").alias("last_order"))
+    return a.join(b, "o_custkey")
+
+
+_SPANS = "sp AS (SELECT user_id, event_type, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY ALL HAVING count(*) > 1)"
+
+
+def spans(s, sf):
+    return t(s, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+
+
+@query(f"WITH {_SPANS}, top AS (SELECT e.event_id, max(sp.a) AS a FROM events e JOIN sp ON sp.user_id = e.user_id AND e.event_id BETWEEN sp.a AND sp.b GROUP BY 1) SELECT e.event_id, e.user_id, min(sp.event_type) AS event_type FROM events e LEFT JOIN top ON top.event_id = e.event_id LEFT JOIN sp ON sp.user_id = e.user_id AND sp.a = top.a AND e.event_id BETWEEN sp.a AND sp.b GROUP BY 1, 2")
+def q_range_enclosing(s, sf):
+    return detect.enclosing(t(s, sf, "events").select("event_id", "user_id"), spans(s, sf), ["user_id"], "event_id", "a", "b", "event_type")
+
+
+@query(f"WITH {_SPANS} SELECT event_id, user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.user_id = e.user_id AND e.event_id BETWEEN sp.a AND sp.b)")
+def q_range_antijoin(s, sf):
+    return detect.outside(t(s, sf, "events").select("event_id", "user_id"), spans(s, sf), ["user_id"], "event_id", "a", "b")
+
+
+@query("WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, l, len(l) AS n, unnest(range(1, len(l) + 1, 16)) AS st FROM d) SELECT doc_id, st::INT AS start, least(st + 19, n)::INT AS stop, md5(array_to_string(list_transform(l[st:least(st + 19, n)], lambda x, i: (st + i - 1)::VARCHAR || ': ' || x), chr(10))) AS body FROM w WHERE st = 1 OR st + 3 < n")
+def q_line_windows(s, sf):
+    return windows.line_windows(t(s, sf, "documents").select("doc_id", "text"), window=20, overlap=4).select("doc_id", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.md5("body").alias("body"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, md5(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS head, len(string_split(text, chr(10))) > 5 AS truncated FROM documents")
+def q_truncate_preview(s, sf):
+    return windows.preview(t(s, sf, "documents").select("doc_id", "text"), most=5).select("doc_id", "n_lines", F.md5("head").alias("head"), "truncated")
+
+
+# ---- text
+
+
+@query("WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS a, doc_id % 7 AS r FROM documents) SELECT doc_id, round(CASE WHEN a >= 50 AND a / greatest(r, 1) >= 5 THEN least(1.0, a / 100 * (a / greatest(r, 1)) / 10) WHEN a >= 20 AND a / greatest(r, 1) >= 3 THEN 0.4 ELSE 0 END, 6)::DOUBLE AS score FROM d")
+def q_bulk_addition(s, sf):
+    return t(s, sf, "documents").select("doc_id", F.round(au.bulk_addition(F.size(lines("text")), F.col("doc_id") % 7), 6).alias("score"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE trim(x, ' ' || chr(9) || chr(13)) = '') AS e, count(*) FILTER (WHERE starts_with(ltrim(x, ' ' || chr(9)), '#') OR starts_with(ltrim(x, ' ' || chr(9)), '//')) AS m, count(*) FILTER (WHERE NOT (starts_with(ltrim(x, ' ' || chr(9)), '#') OR starts_with(ltrim(x, ' ' || chr(9)), '//')) AND (starts_with(ltrim(x, ' ' || chr(9)), 'try') OR starts_with(ltrim(x, ' ' || chr(9)), 'except') OR starts_with(ltrim(x, ' ' || chr(9)), 'catch'))) AS y FROM l GROUP BY doc_id) SELECT doc_id, (CASE WHEN n < 5 THEN 0 WHEN (m + y) / greatest(n - e, 1) > 0.4 THEN 0.9 WHEN (m + y) / greatest(n - e, 1) > 0.3 THEN 0.6 WHEN (m + y) / greatest(n - e, 1) > 0.2 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
+def q_boilerplate(s, sf):
+    return t(s, sf, "documents").select("doc_id", au.boilerplate_density(F.col("text")).alias("score"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), k AS (SELECT doc_id, x, length(x) - length(ltrim(x, ' ' || chr(9))) AS i FROM l WHERE trim(x, ' ' || chr(9) || chr(13)) <> ''), a AS (SELECT doc_id, count(*) AS n, coalesce(stddev_samp(length(x)), 0) AS sl, coalesce(stddev_samp(i) FILTER (WHERE i > 0), 0) AS si, count(*) FILTER (WHERE i % 4 <> 0) AS odd FROM k GROUP BY doc_id) SELECT d.doc_id, round(CASE WHEN coalesce(n, 0) < 10 THEN 0 ELSE (CASE WHEN si < 2 AND odd = 0 THEN 0.4 ELSE 0 END) + (CASE WHEN sl < 15 THEN 0.3 ELSE 0 END) END, 6)::DOUBLE AS score FROM documents d LEFT JOIN a USING (doc_id)")
+def q_uniform_style(s, sf):
+    return t(s, sf, "documents").select("doc_id", au.uniform_style(F.col("text")).alias("score"))
+
+
+def _hits(patterns):
+    return " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "', 0, 'im'))" for p in patterns)
+
+
+@query(f"SELECT doc_id, ({_hits(au.DEFENSIVE)})::INT AS safe, ({_hits(au.RISKY)})::INT AS risky, ({_hits(au.TELLTALE)})::INT AS telltale FROM documents")
+def q_pattern_counts(s, sf):
+    from ..functions import count_matches
+
+    return t(s, sf, "documents").select("doc_id", count_matches("text", au.DEFENSIVE).alias("safe"), count_matches("text", au.RISKY).alias("risky"), count_matches("text", au.TELLTALE).alias("telltale"))
+
+
+@query(f"WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, {_hits(au.DEFENSIVE)} AS a, {_hits(au.RISKY)} AS r FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)) SELECT doc_id, (CASE WHEN n < 10 OR r = 0 THEN 0 WHEN a / greatest(r, 1) < 0.3 THEN 0.7 WHEN a / greatest(r, 1) < 0.5 THEN 0.4 WHEN a / greatest(r, 1) < 1 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM c")
+def q_missing_edge_cases(s, sf):
+    return t(s, sf, "documents").select("doc_id", au.missing_edge_cases(F.col("text")).alias("score"))
+
+
+@query(f"WITH c AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS n, {_hits(au.TELLTALE)} AS m FROM documents) SELECT doc_id, (CASE WHEN n < 5 THEN 0 WHEN m / (n / 20) >= 3 THEN 0.9 WHEN m / (n / 20) >= 2 THEN 0.6 WHEN m / (n / 20) >= 1 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
+def q_comment_density(s, sf):
+    return t(s, sf, "documents").select("doc_id", au.generated_comments(F.col("text")).alias("score"))
+
+
+@query("WITH c AS (SELECT page_id, len(regexp_extract_all(html, '^[+\\s]*(?:class |function |def |const \\w+ = (?:async )?\\()', 0, 'm')) AS m, len(list_filter(string_split(trim(html, ' ' || chr(9) || chr(10) || chr(13)), chr(10)), lambda x: NOT starts_with(x, '-'))) AS n FROM pages) SELECT page_id, (CASE WHEN m = 0 OR n < 10 THEN 0 WHEN m / (n / 100) >= 3 THEN 0.8 WHEN m / (n / 100) >= 2 THEN 0.5 WHEN m / (n / 100) >= 1 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
+def q_complete_functions(s, sf):
+    return t(s, sf, "pages").select("page_id", au.complete_functions(F.col("html")).alias("score"))
+
+
+@query("SELECT conv_id, turn, (CASE WHEN regexp_matches(text, '(?i)cursor|copilot|anthropic|claude') THEN 1.0 WHEN regexp_matches(text, '(?im)^(?:refactor|fix|update|implement|create|add)\\s+\\w+') OR regexp_matches(text, '(?im)ai-generated|auto-generated|generated') OR regexp_matches(text, '(?im)^Initial (?:setup|implementation|commit)') OR regexp_matches(text, '(?im)anthropic|ai|cursor|copilot|Co-Authored-By:.*claude') THEN 0.6 WHEN length(text) > 200 THEN 0.4 ELSE 0.0 END)::DOUBLE AS score FROM conversations")
+def q_commit_message(s, sf):
+    return t(s, sf, "conversations").select("conv_id", "turn", au.commit_message(F.col("text")).alias("score"))
+
+
+@query()
+def q_ai_confidence(s, sf):
+    d = t(s, sf, "documents").select("doc_id", au.pseudo_diff(F.col("text")).alias("diff"))
+    return au.analyze(d).select("doc_id", "lines_added", "lines_removed", F.round("confidence", 6).alias("confidence"), "likely_ai", "summary")
+
+
+@query("SELECT sum(CASE WHEN n_chars >= 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN n_chars >= 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN n_chars < 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN n_chars < 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS tn FROM documents JOIN labels USING (doc_id)")
+def q_threshold_classifier(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "n_chars").join(t(s, sf, "labels"), "doc_id")
+    return au.classifier(d, "n_chars", "quality", 2000).select("tp", "fp", "fn", "tn")
+
+
+@query("WITH x AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), p AS (SELECT * FROM x WHERE quality = 1), n AS (SELECT * FROM x WHERE quality = 0) SELECT round(avg(CASE WHEN p.n_chars > n.n_chars THEN 1.0 WHEN p.n_chars = n.n_chars THEN 0.5 ELSE 0 END), 6)::DOUBLE AS auc FROM p, n")
+def q_auc(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "n_chars").join(t(s, sf, "labels"), "doc_id")
+    return au.auc(d, "n_chars", "quality").select(F.round("auc", 6).alias("auc"))
+
+
+_DIFF = "concat('diff --git a/', lang, '.py b/', lang, '.py', chr(10), '+++ b/', lang, '.py', chr(10), text)"
+
+
+def doc_diffs(s, sf):
+    d = t(s, sf, "documents")
+    w = F.concat(F.lit("diff --git a/"), "lang", F.lit(".py b/"), "lang", F.lit(".py\n+++ b/"), "lang", F.lit(".py\n"), "text")
+    return d.groupBy(F.col("source").alias("diff_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", w.alias("x")))), lambda r: r["x"]), "\n").alias("diff"))
+
+
+@query(f"WITH b AS (SELECT source AS diff_id, lang || '.py' AS file, doc_id, {_DIFF} AS x FROM documents WHERE text NOT LIKE '%diff --git%') SELECT diff_id, file, md5(arg_max(x, doc_id)) AS text FROM b GROUP BY 1, 2")
+def q_diff_split(s, sf):
+    return diffs.split_by_file(diffs.diff_lines(doc_diffs(s, sf))).select("diff_id", "file", F.md5("text").alias("text"))
+
+
+@query("SELECT source AS diff_id, lang || '.py' AS file, (sum(len(string_split(text, chr(10)))) + 2 * count(*))::BIGINT AS n FROM documents GROUP BY 1, 2")
+def q_current_file(s, sf):
+    d = t(s, sf, "documents").select(F.concat("source", F.lit(":"), "doc_id").alias("diff_id"), F.concat(F.lit("--- a/"), "lang", F.lit(".py\n+++ b/"), "lang", F.lit(".py\n"), "text").alias("diff"))
+    r = diffs.current_file(diffs.diff_lines(d))
+    return r.groupBy(F.substring_index("diff_id", ":", 1).alias("diff_id"), "file").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('d1', 'a.py', '\"\"\"', 'calls system'), ('d3', 'c.js', '/*', 'holds executable code')) AS v(diff_id, file, opener, reason)")
+def q_comment_boundary(s, sf):
+    made = [
+        ("d1", 'diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,4 +1,3 @@\n-"""\n os.system(cmd)\n """\n x = 1'),
+        ("d2", 'diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1,4 +1,3 @@\n-"""\n only prose here\n """'),
+        ("d3", "diff --git a/c.js b/c.js\n--- a/c.js\n+++ b/c.js\n@@ -1,4 +1,3 @@\n-/* off\n const open = () => true\n */"),
+        ("d4", 'diff --git a/d.py b/d.py\n--- a/d.py\n+++ b/d.py\n@@ -1,2 +1,1 @@\n-"""closed"""\n run(x)'),
+    ]
+    return diffs.boundary_deletions(diffs.diff_lines(s.createDataFrame(made, "diff_id string, diff string"))).select("diff_id", "file", "opener", "reason")
+
+
+# ---- ranking and cache
+
+
+@query("WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 6) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20")
+def q_cosine_topk(s, sf):
+    e = t(s, sf, "embeddings")
+    q = e.filter("vec_id = 0").select("embedding").first()
+    return rank.nearest(e, list(q[0]) if q else [], "vec_id", "embedding")
+
+
+@query("WITH c AS (SELECT doc_id % 97 AS path, sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0) SELECT d.doc_id, EXISTS (SELECT 1 FROM c WHERE c.path = d.doc_id % 97 AND c.hash = sha256(d.text)) AS hit FROM documents d")
+def q_cache_hit_miss(s, sf):
+    d = t(s, sf, "documents").select("doc_id", (F.col("doc_id") % 97).alias("path"), F.col("text").alias("content"))
+    cache = d.filter("doc_id % 2 = 0").select("path", F.sha2("content", 256).alias("hash"))
+    return rank.cache_lookup(d, cache).select("doc_id", "hit")
+
+
+@query("SELECT path, ((row_number() OVER (ORDER BY path) - 1) // 20)::BIGINT AS batch FROM (SELECT p_partkey AS path FROM part)")
+def q_cache_batches(s, sf):
+    return rank.batches(t(s, sf, "part").select(F.col("p_partkey").alias("path"))).select("path", "batch")
+
+
+# ---- evaluation
+
+
+def _tokens(col):
+    return "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({col}), '{n}')" for n in needles) + f" THEN '{k}' END" for k, needles in sorted(evaluate.TOKENS.items())) + ")"
+
+
+@query(f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents")
+def q_category_tokens(s, sf):
+    return t(s, sf, "documents").select("doc_id", F.array_join(evaluate.category_tokens(F.col("text")), ",").alias("tokens"))
+
+
+@query("WITH g AS (SELECT user_id, list_sort(list({'event_id': event_id, 'category': event_type, 'line': trunc(value)::INT})) AS l FROM events GROUP BY user_id) SELECT user_id, len(list_reduce(list_prepend([{'event_id': 0::BIGINT, 'category': '', 'line': -1000000}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.category = x[1].category AND abs(k.line - x[1].line) <= 3)) > 0 THEN acc ELSE list_concat(acc, x) END)) - 1 AS kept FROM g")
+def q_dedupe_greedy(s, sf):
+    e = t(s, sf, "events").select("user_id", "event_id", F.col("event_type").alias("category"), F.col("value").cast("int").alias("line"), F.lit("f").alias("file"))
+    return evaluate.dedupe(e, "user_id", ["event_id"], "file", "line", "category").groupBy("user_id").agg(F.count("*").alias("kept"))
+
+
+_PAIRS = "f AS (SELECT user_id, event_id AS f, trunc(value)::INT AS line FROM events WHERE event_type = 'error'), t AS (SELECT user_id, event_id AS t, trunc(value)::INT AS line FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, abs(f.line - t.line) AS dist, f, t FROM f JOIN t USING (user_id) WHERE abs(f.line - t.line) <= 5)"
+
+
+def findings_truth(s, sf):
+    e = t(s, sf, "events").select("user_id", "event_id", "event_type", F.col("value").cast("int").alias("line"))
+    f = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("f"), "line")
+    tr = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("t"), F.col("line").alias("line_start"), F.col("line").alias("line_end"))
+    return f, tr
+
+
+@query(f"WITH {_PAIRS}, g AS (SELECT user_id, list_sort(list({{'dist': dist, 'f': f, 't': t}})) AS l FROM c GROUP BY user_id) SELECT user_id, len(list_reduce(list_prepend([{{'dist': -1, 'f': -1::BIGINT, 't': -1::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.f = x[1].f OR k.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END)) - 1 AS matched FROM g")
+def q_match_greedy(s, sf):
+    f, tr = findings_truth(s, sf)
+    return evaluate.greedy_match(evaluate.candidates(f, tr, "user_id"), "user_id").groupBy("user_id").agg(F.count("*").alias("matched"))
+
+
+@query(f"WITH {_PAIRS} SELECT count(*) AS n_truth, (SELECT count(DISTINCT t) FROM c) AS located FROM t")
+def q_loc_only_recall(s, sf):
+    f, tr = findings_truth(s, sf)
+    c = evaluate.candidates(f, tr, "user_id").select("t").distinct().withColumn("hit", F.lit(1))
+    return tr.join(c, "t", "left").agg(F.count("*").alias("n_truth"), F.count("hit").alias("located"))
+
+
+@query("WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS tp, count(*) FILTER (WHERE o_orderstatus = 'O') AS fp, count(*) FILTER (WHERE o_orderstatus = 'P') AS fn FROM orders GROUP BY o_custkey) SELECT o_custkey, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6)::DOUBLE AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6)::DOUBLE AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1 FROM c")
+def q_prf(s, sf):
+    c = t(s, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("tp"), F.count_if(F.col("o_orderstatus") == "O").alias("fp"), F.count_if(F.col("o_orderstatus") == "P").alias("fn"))
+    out = evaluate.scores(c)
+    return out.select("o_custkey", "tp", "fp", "fn", *(F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")))
+
+
+@query("WITH h AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45) SELECT count(*) AS n_files, count(h.l_suppkey) AS n_detected, round(count(h.l_suppkey) / count(*), 6)::DOUBLE AS recall, string_agg(CASE WHEN h.l_suppkey IS NULL THEN s_suppkey::VARCHAR END, ',' ORDER BY s_suppkey::VARCHAR) AS missed FROM supplier LEFT JOIN h ON h.l_suppkey = s_suppkey")
+def q_file_detection(s, sf):
+    hit = t(s, sf, "lineitem").filter("l_discount > 0.09 and l_quantity > 45").select(F.col("l_suppkey").cast("string").alias("file"))
+    out = evaluate.file_detection(t(s, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("file")), hit)
+    return out.select("n_files", "n_detected", F.round("recall", 6).alias("recall"), F.nullif(F.array_join("missed", ","), F.lit("")).alias("missed"))
+
+
+@query("WITH m AS (SELECT o_orderkey AS id, count(DISTINCT l_linenumber) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderpriority AS category, count(*) AS n, count(m.c) AS any_run, round(coalesce(sum(m.c), 0) / (count(*) * 7), 6)::DOUBLE AS mean_recall FROM orders LEFT JOIN m ON m.id = o_orderkey GROUP BY 1")
+def q_per_category(s, sf):
+    truth = t(s, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("category"))
+    got = t(s, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("run"))
+    return evaluate.per_category(truth, got, 7).withColumn("mean_recall", F.round("mean_recall", 6))
+
+
+@query("SELECT o_custkey, round(avg(o_totalprice), 4) AS price_mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS price_std, len(list(o_totalprice))::INT AS n FROM orders GROUP BY o_custkey")
+def q_over_runs(s, sf):
+    r = evaluate.over_runs(t(s, sf, "orders").withColumnRenamed("o_totalprice", "price"), ["o_custkey"], ["price"], "o_orderkey")
+    return r.select("o_custkey", F.round("price_mean", 4).alias("price_mean"), F.round("price_std", 4).alias("price_std"), F.size("price_values").alias("n"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events")
+def q_sarif_like(s, sf):
+    return t(s, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT 'r' || (page_id % 3) AS run, page_id, 'HIGH' AS severity, 'SQL issue' AS category, url || '.py:' || page_id AS place FROM (SELECT page_id, 'p' || page_id AS url FROM pages)")
+def q_parse_findings(s, sf):
+    p = t(s, sf, "pages").select("page_id", F.concat(F.lit("r"), F.col("page_id") % 3).alias("run"), F.concat(F.lit("## [SEVERITY: high] Title\n**Category:** SQL issue\n**Location:** `p"), "page_id", F.lit(".py:"), "page_id", F.lit("`\n---\n")).alias("x"))
+    reports = p.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda r: r["x"]), "").alias("text"))
+    got = evaluate.parse_findings(reports)
+    return got.select("run", F.col("locations")[0]["line"].cast("bigint").alias("page_id"), "severity", "category", F.concat(F.col("locations")[0]["file"], F.lit(":"), F.col("locations")[0]["line"]).alias("place"))
+
+
+# ---- statistics
+
+
+@query("SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS neither FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def q_paired_table(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    return stats.paired_table(d, "a", "b", ["source"])
+
+
+@query("WITH g AS (SELECT DISTINCT b, c FROM range(0, 13) x(b), range(0, 13) y(c)), p AS (SELECT b, c, least(b, c) AS m, b + c AS n FROM g), q AS (SELECT b, c, n, unnest(range(0, m + 1)) AS i FROM p) SELECT b::INT AS b, c::INT AS c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(gamma(n + 1) / (gamma(i + 1) * gamma(n - i + 1))) / pow(2.0, n)) END, 6)::DOUBLE AS p FROM q GROUP BY b, c, n")
+def q_mcnemar(s, sf):
+    g = s.range(13).select(F.col("id").cast("int").alias("b")).crossJoin(s.range(13).select(F.col("id").cast("int").alias("c")))  # a fixed grid of 169 rows
+    return g.select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+
+
+@query()
+def q_fisher(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("x"), (F.col("toxic") == 1).alias("y"))
+    tab = stats.paired_table(d, "x", "y", ["source"]).select("source", F.col("both").alias("a"), F.col("only_a").alias("b"), F.col("only_b").alias("c"), F.col("neither").alias("d"))
+    return stats.fisher_table(tab).withColumn("p", F.round("p", 6))
+
+
+@query()
+def q_bootstrap(s, sf):
+    r = t(s, sf, "region").join(t(s, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("arm"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
+    return stats.bootstrap(r, "arm", "v", "n_nationkey", 2000)
+
+
+@query("WITH m AS (SELECT r_name AS k, avg(n_nationkey) AS v FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1) SELECT x.k AS a, y.k AS b, round(x.v - y.v, 6) AS difference FROM m x JOIN m y ON x.k < y.k")
+def q_pair_differences(s, sf):
+    arms = t(s, sf, "region").join(t(s, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy(F.col("r_name").alias("k")).agg(F.avg("n_nationkey").alias("v"))
+    return stats.pair_differences(arms, "k", "v").withColumn("difference", F.round("difference", 6))
+
+
+@query("WITH r AS (SELECT DISTINCT l_linenumber AS k FROM lineitem), f AS (SELECT l_partkey, min(l_linenumber) AS k FROM lineitem GROUP BY 1) SELECT r.k, (SELECT count(*) FROM f WHERE f.k = r.k) AS new, (SELECT count(*) FROM f WHERE f.k <= r.k) AS pooled FROM r")
+def q_pooling_curve(s, sf):
+    return stats.pooling_curve(t(s, sf, "lineitem"), "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_returnflag = 'R' AS caught, count(*) AS n, round(avg(l_linenumber / l_quantity), 6) AS depth_ratio FROM lineitem GROUP BY 1")
+def q_positional(s, sf):
+    return stats.positional(t(s, sf, "lineitem").withColumn("caught", F.col("l_returnflag") == "R"), "l_linenumber", "l_quantity", "caught").withColumn("depth_ratio", F.round("depth_ratio", 6))
+
+
+@query("SELECT c_mktsegment, min(c_acctbal) AS least, max(c_acctbal) AS most, round(avg(c_acctbal), 4) AS mean, count(*)::INT AS n FROM customer GROUP BY 1")
+def q_run_distribution(s, sf):
+    d = stats.distribution(t(s, sf, "customer"), "c_mktsegment", "c_acctbal")
+    return d.select("c_mktsegment", "least", "most", F.round("mean", 4).alias("mean"), F.size("points").alias("n"))
+
+
+# ---- cost
+
+
+@query("SELECT user_id, round(sum(value / 1e6 * CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 5.0 WHEN 'purchase' THEN 3.0 ELSE 15.0 END), 10) AS usd FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view') GROUP BY user_id")
+def q_usd(s, sf):
+    prices = s.createDataFrame([("click", 1.0), ("error", 5.0), ("purchase", 3.0), ("view", 15.0)], "meter string, per_million double")
+    return cost.usd(t(s, sf, "events").select("user_id", F.col("event_type").alias("meter"), F.col("value").alias("tokens")), prices, ["user_id"]).withColumn("usd", F.round("usd", 10))
+
+
+def ledger(s, sf):
+    return t(s, sf, "events").select("user_id", "event_id", "ts", F.col("value").cast("long").alias("cost"))
+
+
+@query("SELECT user_id, event_id, (sum(trunc(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS spent FROM events")
+def q_running_spend(s, sf):
+    return cost.running_spend(ledger(s, sf), ["user_id"], ["ts", "event_id"], "cost").select("user_id", "event_id", "spent")
+
+
+@query("SELECT user_id, event_id, 500 - (sum(trunc(value)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) >= 0.3 AS allowed FROM events")
+def q_budget_stop(s, sf):
+    return cost.within_budget(ledger(s, sf), ["user_id"], ["ts", "event_id"], "cost", 500.0).select("user_id", "event_id", "allowed")
+
+
+_BENCH = "b AS (SELECT l_returnflag AS bench, count(*) AS runs, avg(l_extendedprice) AS cm, stddev_samp(l_extendedprice) AS cs, avg(l_quantity) AS sm, max(l_partkey) AS loc, max(l_linenumber)::BIGINT AS files, avg(l_tax) AS tm FROM lineitem GROUP BY 1)"
+
+
+def benches(s, sf):
+    li = t(s, sf, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("long")).withColumnRenamed("l_returnflag", "bench")
+    return cost.per_benchmark(li, "bench", "l_extendedprice", "l_quantity", "l_partkey", "l_linenumber", "l_tax")
+
+
+@query(f"WITH {_BENCH} SELECT bench, runs, round(cm, 3) AS cost_mean, round(cs, 3) AS cost_std, round(cm / (loc / 1000), 3) AS cost_per_kloc, round(cm / files, 3) AS cost_per_file FROM b")
+def q_cost_rollup(s, sf):
+    return benches(s, sf).select("bench", "runs", *(F.round(c, 3).alias(c) for c in ("cost_mean", "cost_std", "cost_per_kloc", "cost_per_file")))
+
+
+@query(f"WITH {_BENCH} SELECT sum(runs)::BIGINT AS runs, round(sum(cm), 3) AS cost_mean, 0.0::DOUBLE AS cost_std, sum(loc)::BIGINT AS loc, round(sum(cm) / (sum(loc) / 1000), 3) AS cost_per_kloc FROM b")
+def q_grand_total(s, sf):
+    return cost.grand_total(benches(s, sf)).select("runs", F.round("cost_mean", 3).alias("cost_mean"), "cost_std", "loc", F.round("cost_per_kloc", 3).alias("cost_per_kloc"))
+
+
+@query("SELECT p_partkey, p_retailprice > 1.2 * (SELECT median(p_retailprice) FROM part) AS outlier FROM part")
+def q_outlier_median(s, sf):
+    return cost.outliers(t(s, sf, "part"), "p_retailprice", 1.2).select("p_partkey", "outlier")
+
+
+@query("WITH m AS (SELECT o_orderstatus AS b, o_orderpriority AS stage, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT b, stage, round(v, 3) AS mean_s, round(100 * v / sum(v) OVER (PARTITION BY b), 6) AS pct FROM m")
+def q_stage_shares(s, sf):
+    return cost.stage_shares(t(s, sf, "orders").select(F.col("o_orderstatus").alias("b"), F.col("o_orderpriority").alias("stage"), "o_totalprice"), "b", "stage", "o_totalprice").select("b", "stage", F.round("mean_s", 3).alias("mean_s"), F.round("pct", 6).alias("pct"))
+
+
+@query("WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM u UNION SELECT * FROM p) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM u INTERSECT SELECT * FROM p) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM u EXCEPT SELECT * FROM p)")
+def q_set_ops(s, sf):
+    e = t(s, sf, "events")
+    u, p = (e.filter(F.col("event_type") == k).select("user_id").distinct() for k in ("error", "purchase"))
+    one = lambda d, k: d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n")
+    return one(u.union(p).distinct(), "union").union(one(u.intersect(p), "intersection")).union(one(u.subtract(p), "only_a"))
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
