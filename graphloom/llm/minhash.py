@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     ids = stored(ids, "wanted")
     few = ids.count() <= BROADCAST_ROWS
-    return stored(docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").mapInArrow(run, "id long, set binary"), "sets").dropDuplicates(["id"])
+    return stored(docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").mapInArrow(run, "id long, set binary"), "sets")
 
 
 def linked(i: int, x: int, y: int) -> bool:
@@ -172,38 +172,37 @@ def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int) -> Da
     cols = stored(tagged.join(lists, "v", "left_semi").select("v", "rep", "component"), "columns")
     sets = full_sets(docs, cols.select(F.col("rep").alias("id")).distinct(), k)
 
-    def blocked(rows: DataFrame, name: str) -> DataFrame:
-        n = rows.groupBy("v").agg(F.count("*").alias("n"))
-        salted = rows.join(n, "v").withColumn("blk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)))
-        full = salted.join(sets.withColumnRenamed("id", "rep"), "rep")
-        return full.groupBy("v", "blk").agg(F.collect_list(F.struct("rep", "component", "set")).alias(name)).withColumnRenamed("blk", f"blk_{name}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rows, cols in zip(b["rows"], b["cols"], strict=True):
-                values = [np.frombuffer(c["set"], np.uint64) for c in cols]
-                every, owner = np.concatenate(values), np.repeat(np.arange(len(values)), [len(x) for x in values])
-                order = np.argsort(every, kind="stable")
-                every, owner = every[order], owner[order]
-                sizes = np.array([len(x) for x in values])
-                comp = np.array([c["component"] for c in cols])
-                ids = [c["rep"] for c in cols]
-                for r in rows:
-                    s = np.frombuffer(r["set"], np.uint64)
-                    lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
-                    n = hi - lo
-                    at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-                    both = np.bincount(owner[at], minlength=len(values))
-                    hit = np.flatnonzero((100 * both >= 80 * (sizes + len(s) - both)) & (comp != r["component"]))
-                    _, one = np.unique(comp[hit], return_index=True)  # one link joins a component; the rest are joined
-                    out += [(r["rep"], ids[j]) for j in hit[one].tolist()]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    spark = docs.sparkSession
-    met = blocked(minor, "rows").join(blocked(cols, "cols"), "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "v", "blk_rows", "blk_cols")
-    return met.mapInPandas(run, "a long, b long")
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+    per = stored(parts(minor, "rn").join(parts(cols, "cn"), "v"), "blocks")
+    per = F.broadcast(per) if per.count() <= BROADCAST_ROWS // 8 else per
+    block = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = minor.join(per, "v").join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("v", block("rep", "rn").alias("rb"), every("cn").alias("cb"), "rep", "component", "set")
+    right = cols.join(per, "v").join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("v", every("rn").alias("rb"), block("rep", "cn").alias("cb"), F.col("rep").alias("crep"), F.col("component").alias("ccomponent"), F.col("set").alias("cset"))
+
+    def run(rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(cols):
+            values = [np.frombuffer(c, np.uint64) for c in cols.cset]
+            sizes = np.array([len(x) for x in values])
+            every, owner = np.concatenate(values), np.repeat(np.arange(len(values)), sizes)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            comp, ids = cols.ccomponent.to_numpy(), cols.crep.tolist()
+            for rep, component, s in zip(rows.rep.tolist(), rows.component.tolist(), rows["set"], strict=True):
+                s = np.frombuffer(s, np.uint64)
+                lo = np.searchsorted(every, s, "left")
+                n = np.searchsorted(every, s, "right") - lo
+                at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(values))
+                hit = np.flatnonzero((100 * both >= 80 * (sizes + len(s) - both)) & (comp != component))
+                _, one = np.unique(comp[hit], return_index=True)  # one link joins a component; the rest are joined
+                out += [(rep, ids[j]) for j in hit[one].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return left.groupBy("v", "rb", "cb").cogroup(right.groupBy("v", "rb", "cb")).applyInPandas(run, "a long, b long")
 
 
 def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
