@@ -72,11 +72,9 @@ def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "key", "place")).alias("marked"))
     if some.count() * 96 <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    texts = docs.select("_row", text_col).dropDuplicates(["_row"]) if False else docs.select("_row", text_col)
-    texts = texts.join(wanted, "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
+    texts = docs.select("_row", text_col).join(wanted, "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
     texts = stored(texts.select("m.key", "m.place", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words")), "near-texts").dropDuplicates(["key"])
     size = F.size("words")
-    cut = F.transform(F.sequence(F.lit(0), size), lambda i: F.struct((i - 1).alias("i"), F.when(i == 0, F.xxhash64("words")).otherwise(F.xxhash64(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, size)))).alias("h")))
     cut = F.when(size > 0, F.transform(F.sequence(F.lit(0), size), lambda i: F.struct((i - 1).alias("i"), F.xxhash64(F.when(i == 0, F.col("words")).otherwise(F.concat(F.slice("words", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("words", i + 1, F.greatest(size - i, F.lit(0)))))).alias("h"))))
     variants = texts.select("key", "place", F.explode(cut).alias("v")).select("key", "place", "v.i", "v.h")
     ahead = F.min(F.struct("place", "key"))

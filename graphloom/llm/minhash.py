@@ -141,13 +141,20 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return stored(docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.id, "left_semi").mapInArrow(run, "id long, set binary"), "sets")
 
 
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids, which are broadcast only while they are few."""
+    ids = stored(ids.select(F.col("id").alias(key)).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), key, "left_semi")
+
+
 def linked(i: int, x: int, y: int) -> bool:
     return 100 * i >= 80 * (x + y - i)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are links."""
-    met = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    met = pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,26 +218,28 @@ def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
     sig = stored(signatures(docs, k), "signatures")
     real = sig.filter("n > 0 and doc_id is not null")
     classes = real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = stored(real.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "n", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys", "sketch"), "reps")
-    posts = reps.select("rep", "n", "sketch", F.posexplode("keys").alias("rank", "v"))
+    reps = stored(real.join(classes.withColumnRenamed("rep", "doc_id").hint("merge"), ["s1", "s2", "n", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys", "sketch"), "reps")
+    # Entries travel without their sketches until it is known which lists they share with others.
+    posts = reps.select("rep", F.posexplode("keys").alias("rank", "v"))
+    sketches = reps.select("rep", "n", "sketch", F.size("keys").alias("have"))
     df = stored(posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
-    short = stored(list_pairs(posts.join(df.filter(F.col("df") <= LIST), "v", "left_semi")).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
+    short = stored(list_pairs(posts.join(df.filter(F.col("df") <= LIST).hint("merge"), "v", "left_semi").join(sketches.hint("merge"), "rep")).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
     long_lists = df.filter(F.col("df") > LIST).select("v")
     hot = None
     if not long_lists.isEmpty():
-        hot = posts.join(long_lists, "v", "left_semi").withColumn("hot", F.count("*").over(Window.partitionBy("rep"))).withColumn("of", F.lit(KEYS))
-        hot = stored(hot.join(reps.select("rep", F.size("keys").alias("have")), "rep").filter(F.col("hot") * 2 > F.col("have")).drop("hot", "of", "have"), "hot")
+        hot = posts.join(long_lists.hint("merge"), "v", "left_semi").withColumn("hot", F.count("*").over(Window.partitionBy("rep")))
+        hot = stored(hot.join(sketches.hint("merge"), "rep").filter(F.col("hot") * 2 > F.col("have")).drop("hot", "have"), "hot")
         pairs = stored(short.unionByName(leader_pairs(hot)).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
     else:
         pairs = short
-    edges = None
     sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     best = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.max(F.struct("est", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")).distinct()
     edges = stored(verify(best, sets).select("a", "b"), "links")
     label = components(edges)
     one, two = label.select(F.col("node").alias("a"), F.col("component").alias("ca")), label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = stored(verify(rest, sets).select("a", "b"), "links")
+    rest = stored(rest.select("a", "b"), "rest")
+    more = stored(verify(rest, only(sets, rest.select(F.explode(F.array("a", "b")).alias("id")), "id")).select("a", "b"), "links")
     edges = edges.unionByName(more)
     label = components(edges)
     if hot is not None:
