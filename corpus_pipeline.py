@@ -19,17 +19,26 @@ from graphloom.llm import decontaminate, line_dedup, minhash, packing, quality
 from graphloom.llm._text import shared_dir
 
 
+def slim(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no name can clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("_rest"))
+
+
+def unslim(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in columns))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return quality.judged(docs, model, ["text", *extra]).filter("kept").select(*docs.columns)
+    return unslim(quality.judged(slim(docs), model, ["text", "_rest"]).filter("kept"), docs.columns)
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs)
+    out = line_dedup.dedup(slim(docs))
     emptied = (F.col("_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
-    out = out.filter(~F.coalesce(emptied, F.lit(False)))
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = unslim(out.filter(~F.coalesce(emptied, F.lit(False))), docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +47,8 @@ def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    found = decontaminate.find(slim(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id", "text", "_rest"])
+    return unslim(found.filter(F.size("spans") == 0), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ._text import LOWER, column, flat, grams, prefix_hash, slices, sliding, span_hash, stored, words
 
@@ -130,7 +131,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     if not few:
         docs = stored(docs.withColumn("_uid", F.monotonically_increasing_id()), "decontam")
         keep.append("_uid")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+    span = StructType([StructField("s", IntegerType()), StructField("e", IntegerType())])
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("n_words", LongType()), StructField("spans", ArrayType(span)), StructField("items", ArrayType(StringType()))])
 
     def one(block: list) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)

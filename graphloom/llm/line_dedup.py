@@ -94,20 +94,22 @@ def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
-    """All rows and columns of docs, text without its redundant lines, and _lines, _removed (counts)."""
-    keyed = docs.withColumn("_row", row_key(id_col, text_col))
-    slim = keyed.select(F.col(id_col), F.col(text_col), "_row")
-    forms = first_lines(slim, id_col, text_col)
+    """All rows and columns of docs, text without its redundant lines, and _lines, _removed (counts; columns of docs with
+    these two names are replaced)."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None)
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"), row_key(id_col, text_col).alias("_row"))
+    slim = keyed.select("id", "text", "_row")
+    forms = first_lines(slim, "id", "text")
     if near:
         forms = stored(forms, "forms")
-        forms = forms.join(near_forms(slim, forms, text_col), "key", "left_anti")
-    kept = forms.groupBy(F.col("place._row").alias("_row")).agg(F.collect_set("place.line").alias("_kept"))
-    kept = kept.withColumnRenamed("_row", "_their_row")
-    lines = F.split(text_col, "\n", -1)
+        forms = forms.join(near_forms(slim, forms, "text"), "key", "left_anti")
+    kept = forms.groupBy(F.col("place._row").alias("_their_row")).agg(F.collect_set("place.line").alias("_kept"))
+    lines = F.split("text", "\n", -1)
     out = keyed.join(kept, F.col("_row") == F.col("_their_row"), "left").withColumn("_all", F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
     stays = F.filter("_all", lambda l: (F.size(F.split(form(l["x"]), " +")) < MIN_WORDS) | F.coalesce(F.array_contains("_kept", l["i"]), F.lit(False)))
     out = out.withColumn("_stays", stays)
     left = F.array_join(F.transform("_stays", lambda l: l["x"]), "\n")
-    n, m = F.coalesce(F.size("_all").cast("long"), F.lit(0)), F.coalesce(F.size("_stays").cast("long"), F.lit(0))
-    n, m = F.when(F.col(text_col).isNull(), 0).otherwise(n), F.when(F.col(text_col).isNull(), 0).otherwise(m)
-    return out.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns], n.alias("_lines"), (n - m).alias("_removed"))
+    n, m = (F.when(F.col("text").isNull(), 0).otherwise(F.size(c).cast("long")) for c in ("_all", "_stays"))
+    own = {id_col: F.col("id"), text_col: left}
+    return out.select(*(own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns if c not in ("_lines", "_removed")), n.alias("_lines"), (n - m).alias("_removed"))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ._text import column, mix, powers, prefix_hash, slices
 
@@ -93,8 +94,8 @@ def scored(docs: DataFrame, ratio: np.ndarray, extra: list[str] = ()) -> DataFra
             cols = [column(rows, c) for c in keep] + [pa.array(weight), pa.array(np.where(n > 0, weight / np.maximum(n, 1), 0.0)), pa.array(low), pa.array(n.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "log_weight", "mean_ratio", "lowest", "n_grams"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, log_weight double, mean_ratio double, lowest double, n_grams long")
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(c, DoubleType()) for c in ("log_weight", "mean_ratio", "lowest")] + [StructField("n_grams", LongType())])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def threshold(good: np.ndarray, bad: np.ndarray, allowed: float) -> float:
