@@ -5,12 +5,13 @@ the corpus, by (doc_id, row, line number), has the same form, or, from NEAR_WORD
 edit (one word changed, inserted or left out). Decisions compare each line with all lines of the input, removed ones
 included, so they do not depend on any order of work.
 
-Near lines are found by deletion neighbourhoods over words. Emitting all deletions of all lines would square the text,
-so lines are first filtered without loss: within one edit of each other, two lines share their first six or their last
-six words; only forms that share such a key with another form emit variants. Every variant (the whole form, and the form
-without word i) becomes a hashed key. Forms that agree once word i is gone differ in that word alone; a whole form equal
-to a variant differs by one insertion. So for each key the earliest form decides for all the others: no pairs within a
-group are made. Each such match is then verified word by word.
+Near lines are found by deletion neighbourhoods over words. Two lines within one edit share, without loss, the first or
+the last (s - 1) div 2 words, s being the number of words of the shorter; only forms that share such a half with another
+form emit variants. A variant is the form with a hole: at word i (deletion), or before word i (what a line with one word
+more is without that word). Its hashed key covers the other words, the place of the hole and the length. Equal keys of
+two deletions mean one word changed, of a deletion and an insertion one word more; for each key the earliest form of
+either kind decides for all the others, so no pairs within a group are made. Each match is then verified word by word.
+Words are hashed once, and in chunks, so that a key costs no more than the chunk and the number of chunks.
 
 Defined cases: null text stays null and empty stays empty; short and blank lines stay; a row repeated exactly is one
 document, returned as often as it came; a null doc_id comes last; other columns pass through; an empty table gives none.
@@ -25,8 +26,7 @@ from ._text import stored
 
 MIN_WORDS = 5
 NEAR_WORDS = 12
-SHARED = 6
-BROADCAST_BYTES = 32 << 20
+CHUNK = 64
 
 
 def form(line: Column) -> Column:
@@ -52,45 +52,72 @@ def within_one(a: Column, b: Column) -> Column:
     return head(a, b) + head(F.reverse(a), F.reverse(b)) >= longest - 1
 
 
+def halves(words: Column) -> Column:
+    """Keys of the first and last halves that a form within one edit shares at least one of."""
+    n = F.size(words)
+
+    def key(side: int, length: Column) -> Column:
+        part = F.slice(words, 1, length) if side else F.slice(words, n - length + 1, length)
+        return F.xxhash64(F.lit(side), length, part)
+
+    lengths = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")))
+    return F.flatten(F.transform(lengths, lambda m: F.array(key(0, m), key(1, m))))
+
+
+def variants(hashes: Column) -> Column:
+    """Key, place of the hole and kind of every variant of a form, from the hashes of its words."""
+    n = F.size(hashes)
+    last = F.floor(n / CHUNK)
+
+    def chunks(shift: int) -> Column:
+        """Hash of each chunk of the line, as it would be cut with so many words before it left out."""
+        return F.transform(F.sequence(F.lit(0), last + 1), lambda c: F.xxhash64(F.slice(hashes, F.greatest(c * CHUNK + 1 - shift, F.lit(1)).cast("int"), F.lit(CHUNK))))
+
+    def holes(own: Column, after: Column, dele: bool) -> Column:
+        def one(i: Column) -> Column:
+            c = F.floor(i / CHUNK).cast("int")
+            a, z = c * CHUNK, (c + 1) * CHUNK
+            within = F.concat(F.slice(hashes, a + 1, i - a), F.slice(hashes, i + 2, z - 1 - i)) if dele else F.slice(hashes, a + 1, F.lit(CHUNK - 1))
+            key = F.xxhash64(n + F.lit(0 if dele else 1), i, F.slice(own, 1, c), within, F.slice(after, c + 2, F.greatest(F.size(after), F.lit(1))))
+            return F.struct(key.alias("h"), F.lit(dele).alias("less"))
+
+        # Chunks past the end are empty in either kind; their number must agree, so both are cut to the longer length.
+        return F.transform(F.sequence(F.lit(0), n - F.lit(1 if dele else 0)), one)
+
+    return F.concat(holes(chunks(0), F.slice(chunks(0), 1, F.floor((n - 1) / CHUNK).cast("int") + 1), True), holes(chunks(0), F.slice(chunks(1), 1, F.floor(n / CHUNK).cast("int") + 1), False))
+
+
 def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each form of MIN_WORDS words or more: its key, its first place, its words' head and tail keys."""
+    """One row for each form of MIN_WORDS words or more: its key, its first place, the keys of its halves."""
     lines = docs.select(F.col(id_col).alias("doc"), "_row", F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw")).withColumn("form", form("raw"))
     lines = lines.withColumn("words", F.split("form", " +")).filter(F.size("words") >= MIN_WORDS)
-    near = F.size("words") >= NEAR_WORDS
-    head = F.when(near, F.xxhash64(F.lit(1), F.slice("words", 1, SHARED)))
-    tail = F.when(near, F.xxhash64(F.lit(2), F.slice("words", -SHARED, SHARED)))
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("_row"), F.col("line"))
-    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), head.alias("head"), tail.alias("tail"))
-    return lines.groupBy("key").agg(F.min("place").alias("place"), F.first("head").alias("head"), F.first("tail").alias("tail"))
+    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), F.when(F.size("words") >= NEAR_WORDS, halves(F.col("words"))).alias("halves"))
+    return lines.groupBy("key").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
 def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     """Keys of the forms that an earlier form within one word edit makes redundant."""
-    posts = forms.filter(F.col("head").isNotNull()).select("key", "place", F.explode(F.array("head", "tail")).alias("k"))
+    posts = forms.filter(F.col("halves").isNotNull()).select("key", F.explode("halves").alias("k"))
     shared = posts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    some = stored(posts.join(shared, "k", "left_semi").select("key", "place").distinct(), "near-lines")
-    wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "key", "place")).alias("marked"))
-    if some.count() * 96 <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("_row", text_col).join(wanted, "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
-    texts = stored(texts.select("m.key", "m.place", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words")), "near-texts").dropDuplicates(["key"])
-    size = F.size("words")
-    cut = F.when(size > 0, F.transform(F.sequence(F.lit(0), size), lambda i: F.struct((i - 1).alias("i"), F.xxhash64(F.when(i == 0, F.col("words")).otherwise(F.concat(F.slice("words", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("words", i + 1, F.greatest(size - i, F.lit(0)))))).alias("h"))))
-    variants = texts.select("key", "place", F.explode(cut).alias("v")).select("key", "place", "v.i", "v.h")
-    ahead = F.min(F.struct("place", "key"))
-    same = variants.filter("i >= 0").groupBy("h", "i").agg(ahead.alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "i", "m")
-    by_change = variants.join(same, ["h", "i"])
-    wholes = variants.filter("i < 0").groupBy("h").agg(ahead.alias("m"))
-    longer = variants.filter("i >= 0").groupBy("h").agg(ahead.alias("m"))
-    by_leaving = variants.filter("i >= 0").join(wholes, "h")
-    by_adding = variants.filter("i < 0").join(longer, "h")
-    pairs = None
-    for x in (by_change, by_leaving, by_adding):
-        x = x.filter(F.col("m.place") < F.col("place")).select("key", F.col("m.key").alias("other"))
-        pairs = x if pairs is None else pairs.unionByName(x)
-    words = texts.select("key", "words")
-    checked = pairs.distinct().join(words, "key").join(words.select(F.col("key").alias("other"), F.col("words").alias("theirs")), "other")
-    return checked.filter(within_one(F.col("words"), F.col("theirs"))).select("key").distinct()
+    some = posts.join(shared.hint("merge"), "k", "left_semi").select("key").distinct()
+    some = forms.select("key", "place").join(some.hint("merge"), "key", "left_semi")
+    # Ids ascend with the places, so that the earliest form has the smallest id.
+    some = stored(some.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "near-lines")
+    wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id")).alias("marked"))
+    texts = docs.select("_row", text_col).join(wanted.hint("merge"), "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
+    texts = texts.select("m.id", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words"))
+    texts = stored(texts.groupBy("id").agg(F.first("words").alias("words")), "near-texts")
+    hashed = texts.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    made = stored(hashed.select("id", F.explode(variants(F.col("w"))).alias("v")).select("id", "v.h", "v.less"), "near-variants")
+    first = made.groupBy("h").agg(F.min(F.when(F.col("less"), F.col("id"))).alias("less_id"), F.min(F.when(~F.col("less"), F.col("id"))).alias("more_id"), F.count("*").alias("n"))
+    first = first.filter("n > 1 and less_id is not null").drop("n")
+    met = made.join(first.hint("merge"), "h").withColumn("other", F.when(F.col("less"), F.least("less_id", "more_id")).otherwise(F.col("less_id")))
+    pairs = met.filter("other < id").select("id", "other").distinct()
+    theirs = texts.select(F.col("id").alias("other"), F.col("words").alias("theirs"))
+    checked = pairs.join(texts.hint("merge"), "id").join(theirs.hint("merge"), "other")
+    gone = checked.filter(within_one(F.col("words"), F.col("theirs"))).select("id").distinct()
+    return some.join(gone, "id", "left_semi").select("key")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
