@@ -53,38 +53,37 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def halves(words: Column) -> Column:
-    """Keys of the first and last halves that a form within one edit shares at least one of."""
+    """Keys of the last and first halves, in turns; two forms within one edit share at least one. An odd number of words
+    makes another pair, for partners with one word less."""
     n = F.size(words)
+    one, two = F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")
+    tail = lambda m: F.xxhash64(F.lit(0), m, F.slice(words, n - m + 1, m))
+    head = lambda m: F.xxhash64(F.lit(1), m, F.slice(words, F.lit(1), m))
+    return F.array(tail(one), head(one), F.when(one != two, tail(two)), F.when(one != two, head(two)))
 
-    def key(side: int, length: Column) -> Column:
-        part = F.slice(words, 1, length) if side else F.slice(words, n - length + 1, length)
-        return F.xxhash64(F.lit(side), length, part)
 
-    lengths = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor((n - 2) / 2).cast("int")))
-    return F.flatten(F.transform(lengths, lambda m: F.array(key(0, m), key(1, m))))
+def chunks(hashes: Column, shift: int) -> Column:
+    """Hash of each chunk of a line from the hashes of its words, as it is cut with so many words before it left out."""
+    count = F.floor((F.size(hashes) - 1 + shift) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), count), lambda c: F.xxhash64(F.slice(hashes, F.greatest(c * CHUNK + 1 - shift, F.lit(1)), F.lit(CHUNK))))
 
 
-def variants(hashes: Column) -> Column:
-    """Key, place of the hole and kind of every variant of a form, from the hashes of its words."""
-    n = F.size(hashes)
-    last = F.floor(n / CHUNK)
+def variants(dele: bool) -> Column:
+    """Key and kind of every variant of one kind, of rows with the columns w (hashes of words), own and after (chunks),
+    head and tail (whether that half is shared). Holes lie outside a half that is shared if the other is not."""
+    n, more = F.size("w"), 0 if dele else 1
+    half = F.floor((n - 2) / 2).cast("int")
+    lo = F.when(F.col("head") & ~F.col("tail"), half).otherwise(0)
+    hi = n - 1 + more - F.when(F.col("tail") & ~F.col("head"), half).otherwise(0)
 
-    def chunks(shift: int) -> Column:
-        """Hash of each chunk of the line, as it would be cut with so many words before it left out."""
-        return F.transform(F.sequence(F.lit(0), last + 1), lambda c: F.xxhash64(F.slice(hashes, F.greatest(c * CHUNK + 1 - shift, F.lit(1)).cast("int"), F.lit(CHUNK))))
+    def one(i: Column) -> Column:
+        c = F.floor(i / CHUNK).cast("int")
+        a = c * CHUNK
+        within = F.concat(F.slice("w", a + 1, i - a), F.slice("w", i + 2, a + CHUNK - 1 - i)) if dele else F.slice("w", a + 1, F.lit(CHUNK - 1))
+        key = F.xxhash64(F.size("w") + more, i, F.slice("own", F.lit(1), c), within, F.slice("own" if dele else "after", c + 2, F.size("after")))
+        return F.struct(key.alias("h"), F.lit(dele).alias("less"))
 
-    def holes(own: Column, after: Column, dele: bool) -> Column:
-        def one(i: Column) -> Column:
-            c = F.floor(i / CHUNK).cast("int")
-            a, z = c * CHUNK, (c + 1) * CHUNK
-            within = F.concat(F.slice(hashes, a + 1, i - a), F.slice(hashes, i + 2, z - 1 - i)) if dele else F.slice(hashes, a + 1, F.lit(CHUNK - 1))
-            key = F.xxhash64(n + F.lit(0 if dele else 1), i, F.slice(own, 1, c), within, F.slice(after, c + 2, F.greatest(F.size(after), F.lit(1))))
-            return F.struct(key.alias("h"), F.lit(dele).alias("less"))
-
-        # Chunks past the end are empty in either kind; their number must agree, so both are cut to the longer length.
-        return F.transform(F.sequence(F.lit(0), n - F.lit(1 if dele else 0)), one)
-
-    return F.concat(holes(chunks(0), F.slice(chunks(0), 1, F.floor((n - 1) / CHUNK).cast("int") + 1), True), holes(chunks(0), F.slice(chunks(1), 1, F.floor(n / CHUNK).cast("int") + 1), False))
+    return F.transform(F.sequence(lo, hi), one)
 
 
 def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,18 +97,22 @@ def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     """Keys of the forms that an earlier form within one word edit makes redundant."""
-    posts = forms.filter(F.col("halves").isNotNull()).select("key", F.explode("halves").alias("k"))
+    posts = forms.filter(F.col("halves").isNotNull()).select("key", F.posexplode("halves").alias("side", "k")).filter("k is not null")
     shared = posts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    some = posts.join(shared.hint("merge"), "k", "left_semi").select("key").distinct()
-    some = forms.select("key", "place").join(some.hint("merge"), "key", "left_semi")
+    some = posts.join(shared.hint("merge"), "k", "left_semi").groupBy("key").agg(F.max(F.col("side") % 2 == 1).alias("head"), F.max(F.col("side") % 2 == 0).alias("tail"))
+    some = forms.select("key", "place").join(some.hint("merge"), "key")
     # Ids ascend with the places, so that the earliest form has the smallest id.
     some = stored(some.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "near-lines")
-    wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id")).alias("marked"))
+    wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id", "head", "tail")).alias("marked"))
     texts = docs.select("_row", text_col).join(wanted.hint("merge"), "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
-    texts = texts.select("m.id", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words"))
-    texts = stored(texts.groupBy("id").agg(F.first("words").alias("words")), "near-texts")
-    hashed = texts.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    made = stored(hashed.select("id", F.explode(variants(F.col("w"))).alias("v")).select("id", "v.h", "v.less"), "near-variants")
+    texts = texts.select("m.id", "m.head", "m.tail", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words"))
+    texts = texts.groupBy("id").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("words").alias("words"))
+    texts = texts.withColumn("w", F.transform("words", lambda w: F.xxhash64(w)))
+    # Written, so that the chunks are made once a line and not once a variant.
+    texts = stored(texts.withColumn("own", chunks(F.col("w"), 0)).withColumn("after", chunks(F.col("w"), 1)), "near-texts")
+    made = [texts.select("id", F.explode(variants(dele)).alias("v")).select("id", "v.h", "v.less") for dele in (True, False)]
+    made = stored(made[0].unionByName(made[1]), "near-variants")
+    texts = texts.select("id", "words")
     first = made.groupBy("h").agg(F.min(F.when(F.col("less"), F.col("id"))).alias("less_id"), F.min(F.when(~F.col("less"), F.col("id"))).alias("more_id"), F.count("*").alias("n"))
     first = first.filter("n > 1 and less_id is not null").drop("n")
     met = made.join(first.hint("merge"), "h").withColumn("other", F.when(F.col("less"), F.least("less_id", "more_id")).otherwise(F.col("less_id")))
