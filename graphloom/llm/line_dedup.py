@@ -1,13 +1,13 @@
 """Line deduplication, exact and near, with DataFrame functions only.
 
 A line's form is its text trimmed and lower-cased. A line of MIN_WORDS words or more is removed where an earlier line of
-the corpus, by (doc_id, row, line number), has the same form, or, from NEAR_WORDS words on, a form within one word
-edit (one word changed, inserted or left out). Decisions compare each line with all lines of the input, removed ones
+the corpus, by (doc_id, row, line number), has the same form or a form of MIN_WORDS words or more within one word edit
+(one word changed, inserted or left out). Decisions compare each line with all lines of the input, removed ones
 included, so they do not depend on any order of work.
 
 Near lines are found by deletion neighbourhoods over words. Two lines within one edit share, without loss, the first or
-the last (s - 1) div 2 words, s being the number of words of the shorter; only forms that share such a half with another
-form emit variants. A variant is the form with a hole: at word i (deletion), or before word i (what a line with one word
+the last (s - 1) div 2 words, s being the number of words of the shorter; forms of HALF_WORDS words or more emit variants
+only if they share such a half with another form. Halves of shorter forms tell little, and those forms all emit variants. A variant is the form with a hole: at word i (deletion), or before word i (what a line with one word
 more is without that word). Its hashed key covers the other words, the place of the hole and the length. Equal keys of
 two deletions mean one word changed, of a deletion and an insertion one word more; for each key the earliest form of
 either kind decides for all the others, so no pairs within a group are made. Each match is then verified word by word.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._text import stored
 
 MIN_WORDS = 5
-NEAR_WORDS = 12
+HALF_WORDS = 12
 CHUNK = 64
 
 
@@ -87,12 +87,13 @@ def variants(dele: bool) -> Column:
 
 
 def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each form of MIN_WORDS words or more: its key, its first place, the keys of its halves."""
+    """One row for each form of MIN_WORDS words or more: its key, its first place, whether it is short, and, where a
+    partner may not be short, the keys of its halves."""
     lines = docs.select(F.col(id_col).alias("doc"), "_row", F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw")).withColumn("form", form("raw"))
     lines = lines.withColumn("words", F.split("form", " +")).filter(F.size("words") >= MIN_WORDS)
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("_row"), F.col("line"))
-    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), F.when(F.size("words") >= NEAR_WORDS, halves(F.col("words"))).alias("halves"))
-    return lines.groupBy("key").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
+    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), (F.size("words") < HALF_WORDS).alias("short"), F.when(F.size("words") >= HALF_WORDS - 1, halves(F.col("words"))).alias("halves"))
+    return lines.groupBy("key").agg(F.min("place").alias("place"), F.first("short").alias("short"), F.first("halves").alias("halves"))
 
 
 def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
@@ -100,7 +101,8 @@ def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     posts = forms.filter(F.col("halves").isNotNull()).select("key", F.posexplode("halves").alias("side", "k")).filter("k is not null")
     shared = posts.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
     some = posts.join(shared.hint("merge"), "k", "left_semi").groupBy("key").agg(F.max(F.col("side") % 2 == 1).alias("head"), F.max(F.col("side") % 2 == 0).alias("tail"))
-    some = forms.select("key", "place").join(some.hint("merge"), "key")
+    some = forms.select("key", "place", "short").join(some.hint("merge"), "key", "left").filter("short or head is not null")
+    some = some.select("key", "place", *((F.col("short") | F.coalesce(c, F.lit(False))).alias(c) for c in ("head", "tail")))
     # Ids ascend with the places, so that the earliest form has the smallest id.
     some = stored(some.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "near-lines")
     wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id", "head", "tail")).alias("marked"))
