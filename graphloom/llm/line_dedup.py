@@ -1,8 +1,9 @@
 """Line deduplication, exact and near, with DataFrame functions only.
 
-A line's form is its text trimmed and lower-cased. A line of MIN_WORDS words or more is removed where an earlier line of
-the corpus, by (doc_id, row, line number), has the same form or a form of MIN_WORDS words or more within one word edit
-(one word changed, inserted or left out). Decisions compare each line with all lines of the input, removed ones
+A line's form is its text trimmed of white space and lower-cased; words are split at all white space. Candidates are
+lines of MIN_WORDS words or more, of MIN_CHARS characters or more, or of MIN_SIGNS or more of the scripts written without
+spaces. A candidate is removed where an earlier one, by (doc_id, row, line number), has the same form, or, if both have
+MIN_WORDS words or more, a form within one word edit (one word changed, inserted or left out). Decisions compare each line with all lines of the input, removed ones
 included, so they do not depend on any order of work.
 
 Near lines are found by deletion neighbourhoods over words. Two lines within one edit share, without loss, the first or
@@ -13,7 +14,7 @@ two deletions mean one word changed, of a deletion and an insertion one word mor
 either kind decides for all the others, so no pairs within a group are made. Each match is then verified word by word.
 Words are hashed once, and in chunks, so that a key costs no more than the chunk and the number of chunks.
 
-Defined cases: null text stays null and empty stays empty; short and blank lines stay; a row repeated exactly is one
+Defined cases: null text stays null and empty stays empty; lines that are no candidates stay; a row repeated exactly is one
 document, returned as often as it came; a null doc_id comes last; other columns pass through; an empty table gives none.
 """
 
@@ -25,12 +26,26 @@ from pyspark.sql import functions as F
 from ._text import stored
 
 MIN_WORDS = 5
+#: More than nine of ten lines of MIN_WORDS words have on sf0.01; and the signs of about as many words.
+MIN_CHARS = 40
+MIN_SIGNS = 10
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+LONG = f"^(?:(?:[^{WHITE}]++[{WHITE}]++){{{MIN_WORDS - 1}}}[^{WHITE}]|(?:[^{UNSPACED}]*+[{UNSPACED}]){{{MIN_SIGNS}}})"
 HALF_WORDS = 12
 CHUNK = 64
 
 
 def form(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(WHITE)))
+
+
+def split_words(form: Column) -> Column:
+    return F.split(form, f"[{WHITE}]+")
+
+
+def candidate(trimmed: Column) -> Column:
+    return (F.length(trimmed) >= MIN_CHARS) | trimmed.rlike(LONG)
 
 
 def digest(c: Column) -> Column:
@@ -87,12 +102,12 @@ def variants(dele: bool) -> Column:
 
 
 def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each form of MIN_WORDS words or more: its key, its first place, whether it is short, and, where a
-    partner may not be short, the keys of its halves."""
+    """One row for each form of a candidate: its key, its first place, whether near lines are sought for it without halves,
+    and, where a partner may have more words, the keys of its halves."""
     lines = docs.select(F.col(id_col).alias("doc"), "_row", F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw")).withColumn("form", form("raw"))
-    lines = lines.withColumn("words", F.split("form", " +")).filter(F.size("words") >= MIN_WORDS)
+    lines = lines.filter(candidate(F.col("form"))).withColumn("words", split_words(F.col("form")))
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("_row"), F.col("line"))
-    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), (F.size("words") < HALF_WORDS).alias("short"), F.when(F.size("words") >= HALF_WORDS - 1, halves(F.col("words"))).alias("halves"))
+    lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), F.size("words").between(MIN_WORDS, HALF_WORDS - 1).alias("short"), F.when(F.size("words") >= HALF_WORDS - 1, halves(F.col("words"))).alias("halves"))
     return lines.groupBy("key").agg(F.min("place").alias("place"), F.first("short").alias("short"), F.first("halves").alias("halves"))
 
 
@@ -107,7 +122,7 @@ def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     some = stored(some.orderBy("place").withColumn("id", F.monotonically_increasing_id()), "near-lines")
     wanted = some.groupBy(F.col("place._row").alias("_row")).agg(F.collect_list(F.struct(F.col("place.line").alias("line"), "id", "head", "tail")).alias("marked"))
     texts = docs.select("_row", text_col).join(wanted.hint("merge"), "_row").select(F.split(text_col, "\n", -1).alias("lines"), F.explode("marked").alias("m"))
-    texts = texts.select("m.id", "m.head", "m.tail", F.split(form(F.element_at("lines", F.col("m.line") + 1)), " +").alias("words"))
+    texts = texts.select("m.id", "m.head", "m.tail", split_words(form(F.element_at("lines", F.col("m.line") + 1))).alias("words"))
     texts = texts.groupBy("id").agg(F.first("head").alias("head"), F.first("tail").alias("tail"), F.first("words").alias("words"))
     texts = texts.withColumn("w", F.transform("words", lambda w: F.xxhash64(w)))
     # Written, so that the chunks are made once a line and not once a variant.
@@ -139,7 +154,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     kept = forms.groupBy(F.col("place._row").alias("_their_row")).agg(F.collect_set("place.line").alias("_kept"))
     lines = F.split("text", "\n", -1)
     out = keyed.join(kept, F.col("_row") == F.col("_their_row"), "left").withColumn("_all", F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    stays = F.filter("_all", lambda l: (F.size(F.split(form(l["x"]), " +")) < MIN_WORDS) | F.coalesce(F.array_contains("_kept", l["i"]), F.lit(False)))
+    stays = F.filter("_all", lambda l: ~candidate(F.trim(l["x"], F.lit(WHITE))) | F.coalesce(F.array_contains("_kept", l["i"]), F.lit(False)))
     out = out.withColumn("_stays", stays)
     left = F.array_join(F.transform("_stays", lambda l: l["x"]), "\n")
     n, m = (F.when(F.col("text").isNull(), 0).otherwise(F.size(c).cast("long")) for c in ("_all", "_stays"))

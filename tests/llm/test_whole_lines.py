@@ -67,3 +67,19 @@ def test_near_lines_of_the_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = sorted(tuple(r) for r in registered.op5_line_dedup(spark, sf).collect())
     assert out == sorted(lines(rows, brute.line_form, by_spaces, lambda f: len(by_spaces(f)) >= 5))
+
+
+def test_lines_without_spaces(spark):
+    chinese, thai = "机器学习模型需要大量的训练数据", "ภาษาไทยเขียนโดยไม่เว้นวรรค"
+    japanese = "データを集めて学習する。"
+    tabs, url, code = "id\tname\tprice\tcolour\tsize", "https://example.org/" + "a/b" * 30, "for(i=0;i<n;i++){a[i]=b[i]*c[i];d+=a[i];}"
+    long_lines = [chinese, thai, japanese, tabs, url, code, "one\u3000two\u3000three\u3000four\u3000five"]
+    short_lines = ["}", "all rights reserved.", "第一章 绪论", "x\ty", "", "\t \r"]
+    both = "\n".join(long_lines + short_lines)
+    edges = "\n".join([f"\t{x}\u3000\r" for x in long_lines] + short_lines)
+    changed = "\n".join([chinese[:-1] + "书", "id\tname\tprice\tcolour\tweight", url + "/c"])
+    rows = [(1, both), (2, both), (3, edges), (4, changed)]
+    out = got(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    left = "\n".join(short_lines)
+    assert out[:3] == [(1, 13, 0, both), (2, 13, 7, left), (3, 13, 7, left)]
+    assert out[3] == (4, 3, 1, "\n".join([chinese[:-1] + "书", url + "/c"]))
