@@ -12,8 +12,9 @@ Of each class the KEYS smallest values are retained as entries of inverted lists
 
 Every link is confirmed on full sets. Links within a component that is connected already are not checked again: first
 each class checks its best pair, and after contraction the remaining pairs between different components. Two sets of
-similarity 0.8 fail to share one of 16 retained values with a chance of 0.2**16, and fail the estimate (four standard
-deviations below) with one of some 1e-5.
+similarity 0.8 fail to share one of 16 retained values with a chance of some 0.2**16, and fail the estimate (four standard
+deviations below) with one of some 1e-5. Not in that figure: a class of which half or more of the retained values are not
+hot stays out of the long lists, even if those values are in no list at all, and its links there are missed.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer than K words are one
 shingle; rows with a null doc_id link with nothing; other columns are ignored; an empty table gives no rows.
@@ -37,7 +38,6 @@ THRESHOLD = 0.8
 KEYS, SKETCH, LIST = 16, 32, 32
 LEAST_ESTIMATE = 0.5
 LEADERS = 3
-MINOR_KEYS = 6
 BLOCK = 128
 BROADCAST_ROWS = 4 << 20
 IS_WORD = np.ones(256, bool)
@@ -169,10 +169,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
     """Links between classes outside their long list's largest component and any member of the list."""
-    tagged = stored(hot.select("v", "rep", "n", "rank").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "tagged")
+    tagged = stored(hot.select("v", "rep", "n").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "tagged")
     sizes = tagged.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     split = tagged.join(sizes.select("v", F.col("top.component").alias("main")), "v")
-    minor = stored(split.filter((F.col("component") != F.col("main")) & (F.col("rank") < MINOR_KEYS)).select("v", "rep", "component"), "minor")
+    minor = stored(split.filter(F.col("component") != F.col("main")).select("v", "rep", "component"), "minor")
     if minor.isEmpty():
         return None
     lists = minor.select("v").distinct()
