@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import spec
+
+#: What Python's str.strip() takes off.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
+#: Classes and case of all Unicode, only \n ends a line: what Python's re means.
+UNICODE = "(?Uud)"
+
 
 def strip(c: Column | str) -> Column:
     """All white space at both ends, as Python sees it."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(WHITE))
 
 
 def lines(c: Column | str) -> Column:
@@ -16,6 +25,17 @@ def lines(c: Column | str) -> Column:
     return F.split(c, "\n", -1)
 
 
+def split_lines(c: Column | str) -> Column:
+    """Lines as Python's str.splitlines() gives them: no empty last line after a final line end."""
+    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def count_matches(c: Column | str, patterns: list[str], flags: str = "(?im)") -> Column:
     """Matches of all patterns in one text."""
     total = F.lit(0)
@@ -24,13 +44,23 @@ def count_matches(c: Column | str, patterns: list[str], flags: str = "(?im)") ->
     return total
 
 
+def holds(c: Column, words: list[str]) -> Column:
+    """Whether some of the words is part of the text."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+
+
+def base_file(path: Column | str) -> Column:
+    """Lower-cased last part of a path."""
+    return F.lower(F.regexp_extract(path, r"([^/]*)/*$", 1))
+
+
 def suffix(path: Column | str) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
 def language(path: Column | str) -> Column:
     """python, javascript, typescript or tsx by suffix; null for other files."""
-    kinds = F.create_map(*(F.lit(x) for pair in ((".py", "python"), (".js", "javascript"), (".jsx", "javascript"), (".ts", "typescript"), (".tsx", "tsx")) for x in pair))
+    kinds = F.create_map(*(F.lit(x) for pair in spec.LANGUAGES.items() for x in pair))
     return F.element_at(kinds, F.nullif(suffix(path), F.lit("")))
 
 

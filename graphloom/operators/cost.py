@@ -45,3 +45,21 @@ def stage_shares(stages: DataFrame, by: str, stage: str, seconds: str) -> DataFr
     means = stages.groupBy(by, stage).agg(F.avg(seconds).alias("mean_s"))
     whole = F.sum("mean_s").over(Window.partitionBy(by))
     return means.withColumn("pct", div(100 * F.col("mean_s"), whole))
+
+
+def stage_records(starts: DataFrame, stops: DataFrame, by: list[str]) -> DataFrame:
+    """Seconds of each stage from marks of its start and end (C8): by, stage, seconds; a stage may run more than once."""
+    a = starts.groupBy(*by, "stage").agg(F.sum(F.col("at").cast("double")).alias("_a"), F.count("*").alias("_n"))
+    b = stops.groupBy(*by, "stage").agg(F.sum(F.col("at").cast("double")).alias("_b"), F.count("*").alias("_m"))
+    return a.join(b, [*by, "stage"]).filter("_n = _m").select(*by, "stage", (F.col("_b") - F.col("_a")).alias("seconds"))
+
+
+def usage_totals(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Tokens in and out by model and how many calls, from records of single calls (by, model, tokens_in, tokens_out)."""
+    total = lambda model, way: F.coalesce(F.sum(F.when(F.col("model") == model, F.col(f"tokens_{way}"))), F.lit(0)).alias(f"{model}_{way}")
+    return calls.groupBy(*by).agg(*(total(m, w) for m in ("haiku", "sonnet") for w in ("in", "out")), F.count("*").alias("calls"))
+
+
+def fresh_records(runs: DataFrame, benchmark: str, loc: DataFrame) -> DataFrame:
+    """Cost records of runs made now (C11), in the form of stored ones: the runs themselves are the caller's."""
+    return runs.crossJoin(loc.select("n_files", "loc")).select(F.lit(benchmark).alias("benchmark"), "run_index", F.lit("fresh").alias("source"), "wall_clock_s", F.col("n_files").alias("files"), "loc", "haiku_in", "haiku_out", "sonnet_in", "sonnet_out", "findings", "confirmed_tp", "cost_usd")  # one row of counts

@@ -18,12 +18,13 @@ def winner(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def register(files: DataFrame, functions: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of files, functions and classes, and who contains whom. Ids that collide keep the last attributes and the
     first position."""
-    common = ["id", "type", "name", "qualified_name", "file", "ord"]
-    f = files.select(F.concat(F.lit("file:"), "rel").alias("id"), F.lit("file").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.col("rel").alias("file"), F.struct("file_ord", F.lit(0).alias("kind"), F.lit(0).alias("at")).alias("ord"))
-    fn = functions.select(F.concat(F.lit("func:"), "rel", F.lit("::"), "qualified_name").alias("id"), F.lit("function").alias("type"), "name", "qualified_name", F.col("rel").alias("file"), F.struct("file_ord", F.lit(1).alias("kind"), F.col("ord").cast("int").alias("at")).alias("ord"))
-    cl = classes.select(F.concat(F.lit("class:"), "rel", F.lit("::"), "name").alias("id"), F.lit("class").alias("type"), "name", F.col("name").alias("qualified_name"), F.col("rel").alias("file"), F.struct("file_ord", F.lit(2).alias("kind"), F.col("ord").cast("int").alias("at")).alias("ord"))
+    common = ["id", "type", "name", "qualified_name", "file", "line_start", "line_end", "ord"]
+    none = [F.lit(None).cast("int").alias(c) for c in ("line_start", "line_end")]
+    f = files.select(F.concat(F.lit("file:"), "rel").alias("id"), F.lit("file").alias("type"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.col("rel").alias("file"), *none, F.struct("file_ord", F.lit(0).alias("kind"), F.lit(0).alias("at")).alias("ord"))
+    fn = functions.select(F.concat(F.lit("func:"), "rel", F.lit("::"), "qualified_name").alias("id"), F.lit("function").alias("type"), "name", "qualified_name", F.col("rel").alias("file"), "line_start", "line_end", F.struct("file_ord", F.lit(1).alias("kind"), F.col("ord").cast("int").alias("at")).alias("ord"))
+    cl = classes.select(F.concat(F.lit("class:"), "rel", F.lit("::"), "name").alias("id"), F.lit("class").alias("type"), "name", F.col("name").alias("qualified_name"), F.col("rel").alias("file"), "line_start", "line_end", F.struct("file_ord", F.lit(2).alias("kind"), F.col("ord").cast("int").alias("at")).alias("ord"))
     every = f.select(*common).unionByName(fn.select(*common)).unionByName(cl.select(*common))
-    last = [F.max_by(c, "ord").alias(c) for c in common[1:5]]
+    last = [F.max_by(c, "ord").alias(c) for c in common[1:-1]]
     nodes = every.groupBy("id").agg(*last, F.min("ord").alias("ord"))
     contains = every.filter("type != 'file'").select(F.concat(F.lit("file:"), "file").alias("src"), F.col("id").alias("dst")).distinct()
     return nodes, contains.withColumn("type", F.lit("contains"))
@@ -33,7 +34,7 @@ def module_index(files: DataFrame) -> DataFrame:
     """Names under which a file can be imported: stem and dotted path (Python), last file wins."""
     bare = F.regexp_replace("rel", r"\.[^./]+$", "")
     stem = F.element_at(F.split(bare, "/"), -1)
-    dotted = F.regexp_replace(F.translate(bare, "/", "."), r"\.__init__$", "")
+    dotted = F.array_join(F.filter(F.split(bare, "/"), lambda p: ~p.isin(".", "..")), ".")
     keys = F.array(F.struct(F.lit(0).alias("k"), F.when(stem != "__init__", stem).alias("module")), F.struct(F.lit(1).alias("k"), F.when(F.col("language") == "python", dotted).alias("module")))
     rows = files.select("rel", "file_ord", F.explode(keys).alias("m")).select("rel", "file_ord", "m.k", "m.module").filter("module is not null")
     return winner(rows, ["module"], [F.desc("file_ord"), F.desc("k")]).select("module", "rel")
@@ -77,7 +78,7 @@ def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
     by_module = base.join(known.withColumnRenamed("q", "module"), "module").select("rel", "to", "module", F.lit(None).cast("string").alias("name"), F.struct("ord", F.lit(0).alias("k")).alias("ord"))
     full = known.select(F.col("q").alias("full"), F.col("to").alias("a"))
     short = known.select(F.col("q").alias("name"), F.col("to").alias("b"))
-    by_name = base.filter("name is not null").withColumn("full", F.concat_ws(".", "module", "name")).join(full, "full", "left").join(short, "name", "left")
+    by_name = base.filter("name is not null").withColumn("full", F.when(F.col("module") == "", F.col("name")).otherwise(F.concat_ws(".", "module", "name"))).join(full, "full", "left").join(short, "name", "left")
     by_name = by_name.withColumn("to", F.coalesce("a", "b")).filter("to is not null").select("rel", "to", "module", "name", F.struct("ord", F.lit(1).alias("k")).alias("ord"))
     every = by_module.unionByName(by_name)
     agg = every.groupBy(F.concat(F.lit("file:"), "rel").alias("src"), F.concat(F.lit("file:"), "to").alias("dst")).agg(F.max_by("module", "ord").alias("module"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("ord"))).alias("name"))
@@ -85,11 +86,12 @@ def import_edges(imports: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of parsed files; a later edge type overwrites an earlier one of the same pair."""
+    """Nodes and edges of parsed files; a later edge type overwrites an earlier one of the same pair. Calls are those of
+    functions; what a file calls outside them makes no edge."""
     nodes, contains = register(files, functions, classes)
     fns = functions.withColumn("id", F.concat(F.lit("func:"), "rel", F.lit("::"), "qualified_name"))
-    owner = F.when(F.col("owner").isNull(), F.concat(F.lit("file:"), "rel")).otherwise(F.concat(F.lit("func:"), "rel", F.lit("::"), "owner"))
-    called = resolve_calls(calls.withColumn("caller", owner), function_index(fns))
+    caller = F.concat(F.lit("func:"), "rel", F.lit("::"), "owner")
+    called = resolve_calls(calls.filter("owner is not null").withColumn("caller", caller), function_index(fns))
     null = lambda t: F.lit(None).cast(t)
     parts = [
         contains.select("src", "dst", "type", null("string").alias("module"), null("string").alias("name"), null("int").alias("line"), F.lit(0).alias("k")),
@@ -101,6 +103,23 @@ def build(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: D
     return nodes, edges
 
 
+def of_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of source files (rel, language, source, lines, file_ord)."""
+    from ..functions import extract
+    from ..plans.lineage import cut
+
+    p = cut(extract.parsed(files))
+    return build(p, extract.functions(p), extract.classes(p), extract.imports(p), extract.function_calls(p))
+
+
+def relative(nodes: DataFrame, edges: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Ids and files of a graph built on absolute paths, as seen from a root."""
+    head = root.rstrip("/") + "/"
+    cutoff = lambda c: F.replace(F.col(c), F.lit(head), F.lit(""))
+    file = F.when(F.col("file").startswith(head), F.substring("file", len(head) + 1, 1 << 30)).otherwise(F.col("file"))
+    return nodes.withColumn("id", cutoff("id")).withColumn("file", file), edges.withColumn("src", cutoff("src")).withColumn("dst", cutoff("dst"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes and edges by type and in all."""
     n = nodes.agg(F.count("*").alias("nodes"), *(F.count_if(F.col("type") == t).alias(f"{t}_nodes") for t in ("file", "function", "class")))
@@ -131,9 +150,29 @@ def summary(nodes: DataFrame, edges: DataFrame, functions: int = 20, classes: in
     return n.join(e)
 
 
-def to_json(nodes: DataFrame, edges: DataFrame, target: str | None = None) -> DataFrame:
-    """One row: the graph as JSON, for a viewer."""
+def json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph for a viewer, one JSON object a row: nodes with label and type, then edges. A label is the name, else the
+    qualified name; a file's is its path, any other node's its id."""
     label = F.coalesce(F.nullif("name", F.lit("")), F.nullif("qualified_name", F.lit("")), F.when(F.col("type") == "file", F.col("file")), F.col("id"))
-    n = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "type", label.alias("label"), "file"))).alias("nodes"))
-    e = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "type"))).alias("edges"))
-    return n.join(e).select(F.to_json(F.struct("nodes", "edges", F.lit(target).alias("target"))).alias("json"))
+    n = nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct("id", label.alias("label"), "type", "file")).alias("json"))
+    e = edges.select(F.lit("edge").alias("kind"), F.concat("src", F.lit(" "), "dst").alias("id"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type")).alias("json"))
+    return n.unionByName(e)
+
+
+def to_html(nodes: DataFrame, edges: DataFrame, target: str | None = None, most: int = 500) -> str:
+    """A page that draws a graph of at most so many nodes (nearest the front by id order); its layout runs in the viewer.
+    Only the drawn part comes to the driver."""
+    some = nodes.orderBy("id").limit(most)
+    ids = some.select("id")
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    rows = json_rows(some, inner).select("kind", "json").limit(most * 20).collect()
+    part = lambda kind: "[" + ",".join(r.json.replace("</", "<\\/") for r in rows if r.kind == kind) + "]"
+    return (
+        "<!doctype html><meta charset=utf-8><title>graph</title><canvas id=c width=1200 height=900></canvas><script>"
+        f"const nodes={part('node')},edges={part('edge')},target={__import__('json').dumps(target)};"
+        "const at=new Map(nodes.map((n,i)=>[n.id,{x:600+400*Math.cos(i*2.4),y:450+300*Math.sin(i*2.4)}]));"
+        "for(let k=0;k<300;k++){for(const e of edges){const a=at.get(e.source),b=at.get(e.target),dx=b.x-a.x,dy=b.y-a.y,d=Math.hypot(dx,dy)||1,f=(d-90)*.01;a.x+=dx/d*f;a.y+=dy/d*f;b.x-=dx/d*f;b.y-=dy/d*f}"
+        "const p=[...at.values()];for(let i=0;i<p.length;i++)for(let j=0;j<i;j++){const dx=p[i].x-p[j].x,dy=p[i].y-p[j].y,d=dx*dx+dy*dy+1;if(d<9000){p[i].x+=dx/d*30;p[i].y+=dy/d*30;p[j].x-=dx/d*30;p[j].y-=dy/d*30}}}"
+        "const g=document.getElementById('c').getContext('2d');g.strokeStyle='#999';for(const e of edges){const a=at.get(e.source),b=at.get(e.target);g.beginPath();g.moveTo(a.x,a.y);g.lineTo(b.x,b.y);g.stroke()}"
+        "for(const n of nodes){const p=at.get(n.id);g.fillStyle=n.id===target?'#c00':'#036';g.beginPath();g.arc(p.x,p.y,5,0,7);g.fill();g.fillText(n.label,p.x+7,p.y+3)}</script>"
+    )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import running
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Over the common length; norms over the whole vectors; 0 where a norm is 0."""
@@ -28,4 +30,16 @@ def cache_lookup(files: DataFrame, cache: DataFrame, path: str = "path", content
 
 
 def batches(misses: DataFrame, path: str = "path", size: int = 20) -> DataFrame:
-    return misses.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(path)) - 1) / size))
+    """Adds the batch of each row: so many rows each, in the order of the path."""
+    return running(misses, [path], F.lit(1), "_before").withColumn("batch", F.floor(F.col("_before") / size)).drop("_before")
+
+
+def merge_cache(cache: DataFrame, fresh: DataFrame, path: str = "path") -> DataFrame:
+    """The cache with new entries in place of old ones of the same path."""
+    return cache.join(fresh.select(path), path, "left_anti").unionByName(fresh.select(*cache.columns))
+
+
+def prune(nodes: DataFrame, top_files: DataFrame, file: str = "path") -> DataFrame:
+    """Nodes whose file contains one of the top files' paths (a top-k list, so it is broadcast)."""
+    f = F.broadcast(top_files.select(F.col(file).alias("_top")))
+    return nodes.join(f, F.contains(F.col("file"), F.col("_top")), "left_semi")

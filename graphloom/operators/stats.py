@@ -2,42 +2,55 @@
 
 from __future__ import annotations
 
-import math
 import random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import let
 
-def binomial(n: Column, k: Column) -> Column:
-    """n over k as a double, by the product form."""
-    return F.aggregate(F.when(k < 1, F.expr("array(0)")).otherwise(F.sequence(F.lit(1), F.greatest(k, F.lit(1)))), F.lit(1.0), lambda a, i: F.when(i == 0, a).otherwise(a * (n - k + i) / i))
+
+def log_factorial(n: Column) -> Column:
+    """ln n!, as a sum of logarithms."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided p of the discordant counts; 1 if there are none."""
+    """Exact two-sided p of the discordant counts; 1 if there are none. Terms are kept relative to the last, which is the
+    largest, so no count is too big."""
     n, m = (b + c).cast("int"), F.least(b, c).cast("int")
-    tail = F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda a, i: a + binomial(n, i))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
+    # From C(n, m) downwards: C(n, i - 1) / C(n, i) = i / (n - i + 1).
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
+    def step(a: Column, j: Column) -> Column:
+        i = m - j + 1
+        term = a["term"] * i / (n - i + 1)
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
 
-def fisher(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact p of a 2 x 2 table: all tables as unlikely as it or more."""
-    rows, cols, n = a + b, a + c, a + b + c + d
-    p = lambda x: math.comb(rows, x) * math.comb(n - rows, cols - x) / math.comb(n, cols)
-    seen = p(a)
-    return min(1.0, sum(q for x in range(max(0, cols - (n - rows)), min(rows, cols) + 1) if (q := p(x)) <= seen + 1e-12))
+    total = F.aggregate(F.when(m < 1, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(1), F.greatest(m, F.lit(1)))), start, step)["sum"]
+    p = 2 * F.exp(log_choose(n, m) - n * F.log(F.lit(2.0))) * total
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
 
 
-def fisher_table(tables: DataFrame) -> DataFrame:
-    """Adds p to rows with a, b, c, d."""
+def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-sided exact p of a 2 x 2 table: all tables of its margins that are as unlikely or more. 1 for an empty table."""
+    a, b, c, d = (x.cast("int") for x in (a, b, c, d))
+    row, one, two, n = a + b, a + c, b + d, a + b + c + d
+    all_ways = log_choose(n, row)
+    p = lambda x: F.exp(log_choose(one, x) + log_choose(two, row - x) - all_ways)
+    every = F.sequence(F.greatest(F.lit(0), row - two), F.least(row, one))
+    seen = let(p(a), lambda s: F.aggregate(F.transform(every, p), F.lit(0.0), lambda t, q: t + F.when(q <= s + 1e-12, q).otherwise(0.0)))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), seen))
 
-    @F.pandas_udf("double")
-    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
 
-    return tables.withColumn("p", p("a", "b", "c", "d"))
+def fisher_table(tables: DataFrame) -> DataFrame:
+    """Adds p to rows with a, b, c, d."""
+    return tables.withColumn("p", fisher(*map(F.col, "abcd")))
 
 
 def bootstrap(groups: DataFrame, by: str, value: str, order: str, n: int = 10_000, seed: int = 12345) -> DataFrame:

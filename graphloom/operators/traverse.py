@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import split_lines
 from ..plans.lineage import cut
 
 
@@ -53,12 +54,12 @@ def blast_radius(edges: DataFrame, node: str, max_depth: int = 5) -> DataFrame:
     return bfs(flipped(edges), start, max_depth, paths=True).withColumn("direct_caller", F.col("depth") == 1)
 
 
-def blast_summary(radius: DataFrame, nodes: DataFrame | None = None, tree: int = 10, listed: int = 15) -> DataFrame:
+def blast_summary(radius: DataFrame, tree: int = 10, listed: int = 15) -> DataFrame:
     """One row: how many callers are direct or indirect, and the nearest ones as text."""
-    order = F.array_sort(F.collect_list(F.struct("depth", "node")))
-    line = F.transform(F.slice("_all", 1, listed), lambda x: F.concat(F.repeat(F.lit("  "), x["depth"]), x["node"]))
-    out = radius.agg(F.count_if("direct_caller").alias("direct"), F.count_if(~F.col("direct_caller")).alias("indirect"), order.alias("_all"))
-    return out.select("direct", "indirect", F.array_join(F.slice(line, 1, tree), "\n").alias("tree"), F.array_join(line, "\n").alias("prompt"))
+    counts = radius.agg(F.count_if("direct_caller").alias("direct"), F.count_if(~F.col("direct_caller")).alias("indirect"))
+    near = radius.select("depth", "node").orderBy("depth", "node").limit(listed).agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("_near"))
+    line = F.transform("_near", lambda x: F.concat(F.repeat(F.lit("  "), x["depth"]), x["node"]))
+    return counts.crossJoin(near).select("direct", "indirect", F.array_join(F.slice(line, 1, tree), "\n").alias("tree"), F.array_join(line, "\n").alias("prompt"))  # one row each
 
 
 def neighborhood(edges: DataFrame, target: str, max_depth: int = 3, max_nodes: int = 50, files: DataFrame | None = None) -> DataFrame:
@@ -117,29 +118,55 @@ def downstream_depth(edges: DataFrame, sources: DataFrame, most: int = 50) -> Da
 
 
 def cap_study(sizes: DataFrame, cap: int, value: str = "size") -> DataFrame:
-    """Median, 90th percentile by index, largest, share over the cap."""
-    s = F.array_sort(F.collect_list(value))
-    out = sizes.agg(F.percentile(value, 0.5).alias("median"), s.alias("_s"), F.max(value).alias("most"), F.count_if(F.col(value) > cap).alias("over"), F.count("*").alias("n"))
-    return out.select("median", F.element_at("_s", (F.floor(F.lit(0.9) * (F.col("n") - 1)) + 1).cast("int")).alias("p90"), "most", (100.0 * F.col("over") / F.col("n")).alias("over_pct"))
-
-
-def called_elsewhere(edges: DataFrame, nodes: DataFrame, file_suffix: str, most: int = 20) -> DataFrame:
-    """Names of functions in other files that this file calls."""
-    mine = nodes.filter(F.col("file").endswith(file_suffix)).select(F.col("id").alias("src"), F.col("file").alias("_mine"))
-    theirs = nodes.filter("type = 'function'").select(F.col("id").alias("dst"), "name", F.col("file").alias("_theirs"))
-    met = edges.filter("type = 'calls'").join(mine, "src").join(theirs, "dst").filter("_mine != _theirs")
-    return met.agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("names"))
-
-
-def neighbour_bodies(edges: DataFrame, nodes: DataFrame, file: str, depth: int = 2, budget: int = 250) -> DataFrame:
-    """Functions of other files around a file, nearest first, their lines cut to a running budget. nodes: id, type,
-    file, n_lines."""
-    starts = nodes.filter(F.col("file") == file).select(F.col("id").alias("node"))
-    other = nodes.filter((F.col("type") == "function") & (F.col("file") != file)).select(F.col("id").alias("node"), "n_lines")
+    """Median, 90th percentile by index, largest, share over the cap. Sizes are counted by value first, so what is ranked
+    is bounded by the largest size."""
+    v = sizes.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    v = v.withColumn("_upto", F.sum("_n").over(Window.orderBy("_v")))
+    every = v.agg(F.sum("_n").alias("n"), F.max("_v").alias("most"), F.coalesce(F.sum(F.when(F.col("_v") > cap, F.col("_n"))), F.lit(0)).alias("over"))
+    ranked = v.crossJoin(every)  # one row of totals
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    n = F.col("n")
+    out = ranked.groupBy("n", "most", "over").agg(at(F.floor((n - 1) / 2)).alias("_a"), at(F.floor(n / 2)).alias("_b"), at(F.floor(F.lit(0.9) * (n - 1))).alias("p90"))
+    return out.select(((F.col("_a") + F.col("_b")) / 2).alias("median"), "p90", "most", (100.0 * F.col("over") / n).alias("over_pct"))
+
+
+def called_elsewhere(edges: DataFrame, nodes: DataFrame, rel: str, most: int = 20) -> DataFrame:
+    """One row: what functions of a file call in other files, as "name (in file)". Files count as this one if they end
+    with its last part; as another if their last part differs."""
+    base = rel.rsplit("/", 1)[-1]
+    tail = lambda c: F.element_at(F.split(c, "/"), -1)
+    mine = nodes.filter(F.col("file").endswith(base)).select(F.col("id").alias("src"))
+    theirs = nodes.filter(tail("file") != base).select(F.col("id").alias("dst"), F.concat(F.element_at(F.split("id", "::"), -1), F.lit(" (in "), tail("file"), F.lit(")")).alias("callee"))
+    met = edges.filter("type = 'calls'").join(mine, "src", "left_semi").join(theirs, "dst").select("callee").distinct()
+    return met.orderBy("callee").limit(most).agg(F.array_sort(F.collect_list("callee")).alias("names"))
+
+
+def neighbour_bodies(edges: DataFrame, nodes: DataFrame, files: DataFrame, rel: str, depth: int = 2, budget: int = 250) -> DataFrame:
+    """Functions of other files around a file, nearest first, with numbered bodies, cut to a running budget of lines:
+    node, depth, taken, body. The walk goes through functions of other files only."""
+    base = rel.rsplit("/", 1)[-1]
+    tail = F.element_at(F.split("file", "/"), -1)
+    fn = nodes.filter("type = 'function'")
+    starts = fn.filter(tail == base).select(F.col("id").alias("node"))
+    other = fn.filter(tail != base).select(F.col("id").alias("node"), "file", "line_start", "line_end")
     walk = both_ways(edges).join(other.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     met = bfs(walk, starts, depth).groupBy("node").agg(F.min("depth").alias("depth")).join(other, "node")
-    before = F.coalesce(F.sum("n_lines").over(Window.orderBy("depth", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return met.withColumn("take", F.least("n_lines", F.lit(budget) - before)).filter("take > 0").select("node", "depth", "take")
+    text = met.join(files.select(F.col("rel").alias("file"), split_lines("source").alias("_l")), "file")
+    text = text.withColumn("_body", F.slice("_l", F.col("line_start"), F.greatest(F.least(F.col("line_end"), F.size("_l")) - F.col("line_start") + 1, F.lit(0))))
+    # No more of the nearest than the budget can hold: each takes a line at least.
+    some = text.filter(F.size("_body") > 0).select("node", "depth", "line_start", "_body").orderBy("depth", "node").limit(budget)
+    before = F.coalesce(F.sum(F.size("_body")).over(Window.orderBy("depth", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = some.withColumn("taken", F.least(F.size("_body"), F.lit(budget) - before)).filter("taken > 0")
+    numbered = F.transform(F.slice("_body", F.lit(1), F.col("taken")), lambda l, i: F.concat((F.col("line_start") + i).cast("string"), F.lit(": "), l))
+    return some.select("node", "depth", F.col("taken").cast("int").alias("taken"), F.array_join(numbered, "\n").alias("body"))
+
+
+def edge_chain(edges: DataFrame, nodes: DataFrame, chain: list[str]) -> DataFrame:
+    """The edges along a chain of names, as they are in the graph: step, src, dst, type, line."""
+    steps = edges.sparkSession.createDataFrame(list(zip(range(len(chain) - 1), chain, chain[1:], strict=False)), "step int, a string, b string")
+    named = nodes.select("id", F.coalesce("name", F.element_at(F.split("id", "/"), -1)).alias("n"))
+    one, two = (named.select(F.col("id").alias(i), F.col("n").alias(k)) for i, k in (("src", "a"), ("dst", "b")))
+    return edges.join(one, "src").join(two, "dst").join(F.broadcast(steps), ["a", "b"]).select("step", "src", "dst", "type", "line")
 
 
 def keep_relevant(nodes: DataFrame, relevant: list[str]) -> DataFrame:

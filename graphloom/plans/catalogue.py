@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lines, strip
+from .. import spec
+from ..functions import lines
 from ..operators import authorship as au
 from ..operators import cost, detect, diffs, evaluate, graph, rank, snapshots, stats, traverse, windows
+from . import code_queries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,14 +33,14 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-CALLS = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3"
+CALLS = "SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem"
 HOLDS = "SELECT concat('s', p_partkey % 50) AS src, concat('p', p_partkey) AS dst FROM part"
 NODES = "SELECT concat('p', p_partkey) AS id, 'function' AS type, p_name AS name FROM part UNION ALL SELECT DISTINCT concat('s', p_partkey % 50), 'file', NULL FROM part"
 EDGES = f"SELECT src, dst, 'calls' AS type FROM ({CALLS}) UNION ALL SELECT src, dst, 'contains' FROM ({HOLDS})"
 
 
 def call_edges(s: SparkSession, sf: str) -> DataFrame:
-    li = t(s, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity < 3")
+    li = t(s, sf, "lineitem")
     return li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().withColumn("type", F.lit("calls"))
 
 
@@ -90,10 +92,18 @@ def q_subgraph_cap(s, sf):
     return traverse.neighborhood(edges(s, sf), "s7", 2, 30).select("node", F.col("dist").cast("int").alias("dist"))
 
 
-@query(f"WITH e AS ({EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT dst AS node FROM ({CALLS})), one AS (SELECT n.node AS source, b.dst AS node FROM n JOIN b ON b.src = n.node), two AS (SELECT source, node FROM one UNION SELECT one.source, b.dst FROM one JOIN b ON b.src = one.node) SELECT n.node AS source, (SELECT count(DISTINCT node) FROM two WHERE two.source = n.node AND two.node <> n.node) + 1 AS size FROM n")
+TREE = """SELECT concat('o', o_orderkey) AS src, concat('c', o_custkey) AS dst FROM orders UNION ALL SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation"""
+
+
+def tree_edges(s, sf):
+    """Orders to customers to nations to regions: a graph of all rows in which two steps stay of the size of the tables."""
+    pair = lambda d, a, x, b, y: t(s, sf, d).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    return pair("orders", "o", "o_orderkey", "c", "o_custkey").union(pair("customer", "c", "c_custkey", "n", "c_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey"))
+
+
+@query(f"WITH e AS ({TREE}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), n AS (SELECT concat('n', n_nationkey) AS node FROM nation), one AS (SELECT n.node AS source, b.dst AS node FROM n JOIN b ON b.src = n.node), two AS (SELECT source, node FROM one UNION SELECT one.source, b.dst FROM one JOIN b ON b.src = one.node) SELECT n.node AS source, (SELECT count(DISTINCT node) FROM two WHERE two.source = n.node AND two.node <> n.node) + 1 AS size FROM n")
 def q_neighborhood_sizes(s, sf):
-    e = edges(s, sf)
-    return traverse.neighborhood_sizes(e, e.filter("type = 'calls'").select(F.col("dst").alias("node")).distinct(), 2)
+    return traverse.neighborhood_sizes(tree_edges(s, sf), t(s, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node")), 2)
 
 
 @query(f"WITH z AS (SELECT src AS node, count(*) AS size FROM ({EDGES}) GROUP BY src), l AS (SELECT list_sort(list(size)) AS s, count(*) AS n, count(*) FILTER (WHERE size > 5) AS o, median(size) AS m, max(size) AS x FROM z) SELECT m::DOUBLE AS median, s[(floor(0.9 * (n - 1)) + 1)::INT] AS p90, x AS most, round(100.0 * o / n, 6) AS over_pct FROM l")
@@ -101,10 +111,10 @@ def q_cap_study(s, sf):
     return traverse.cap_study(edges(s, sf).groupBy("src").agg(F.count("*").alias("size")), 5).withColumn("over_pct", F.round("over_pct", 6))
 
 
-@query(f"WITH RECURSIVE e AS ({EDGES}), st AS (SELECT DISTINCT dst AS source FROM ({CALLS})), r(source, node, depth) AS (SELECT source, source, 0 FROM st UNION SELECT r.source, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4), m AS (SELECT source, node, min(depth) AS d FROM r GROUP BY ALL) SELECT source, max(d)::BIGINT AS depth FROM m GROUP BY source")
+@query(f"WITH RECURSIVE e AS ({TREE}), st AS (SELECT DISTINCT src AS source FROM e), r(source, node, depth) AS (SELECT source, source, 0 FROM st UNION SELECT r.source, e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 50), m AS (SELECT source, node, min(depth) AS d FROM r GROUP BY ALL) SELECT source, max(d)::BIGINT AS depth FROM m GROUP BY source")
 def q_downstream_depth(s, sf):
-    e = edges(s, sf)
-    return traverse.downstream_depth(e, e.filter("type = 'calls'").select(F.col("dst").alias("node")).distinct(), 4)
+    e = tree_edges(s, sf)
+    return traverse.downstream_depth(e, e.select(F.col("src").alias("node")).distinct())
 
 
 @query(f"WITH n AS ({NODES}), e AS ({EDGES}) SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM n WHERE type = 'file') AS file_nodes, (SELECT count(*) FROM n WHERE type = 'function') AS function_nodes, 0::BIGINT AS class_nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE type = 'contains') AS contains_edges, 0::BIGINT AS imports_edges, (SELECT count(*) FROM e WHERE type = 'calls') AS calls_edges")
@@ -129,13 +139,14 @@ def q_file_tree(s, sf):
 
 
 def snapshot(s, sf, post: bool):
-    li = t(s, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity < 3").filter(F.col("l_shipdate") >= "1998-01-01" if post else F.col("l_shipdate") < "1998-06-01")
+    """Parts and who ships them, before and after 1995: every order line is in one of the two."""
+    li = t(s, sf, "lineitem").filter(F.col("l_shipdate") >= "1995-01-01" if post else F.col("l_shipdate") < "1995-01-01")
     e = li.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct().withColumn("type", F.lit("calls"))
     n = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return n.join(nodes(s, sf).select("id", "name"), "id", "left"), e
 
 
-_SNAP = "a AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 AND l_shipdate < '1998-06-01'), b AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3 AND l_shipdate >= '1998-01-01'), pre AS (SELECT src AS id FROM a UNION SELECT dst FROM a), post AS (SELECT src AS id FROM b UNION SELECT dst FROM b)"
+_SNAP = "a AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_shipdate < '1995-01-01'), b AS (SELECT DISTINCT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst FROM lineitem WHERE l_shipdate >= '1995-01-01'), pre AS (SELECT src AS id FROM a UNION SELECT dst FROM a), post AS (SELECT src AS id FROM b UNION SELECT dst FROM b)"
 
 
 @query(f"WITH {_SNAP} SELECT id FROM post EXCEPT SELECT id FROM pre")
@@ -182,11 +193,13 @@ def q_first_last_wins(s, sf):
     return a.join(b, "o_custkey")
 
 
-_SPANS = "sp AS (SELECT user_id, event_type, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY ALL HAVING count(*) > 1)"
+_SPANS = "sp AS (SELECT user_id, event_type, min(event_id) + (max(event_id) - min(event_id)) // 4 AS a, max(event_id) - (max(event_id) - min(event_id)) // 3 AS b FROM events GROUP BY ALL)"
 
 
 def spans(s, sf):
-    return t(s, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    """Of each user and type of event, the middle of its ids."""
+    g = t(s, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return g.select("user_id", "event_type", F.expr("lo + (hi - lo) div 4").alias("a"), F.expr("hi - (hi - lo) div 3").alias("b"))
 
 
 @query(f"WITH {_SPANS}, top AS (SELECT e.event_id, max(sp.a) AS a FROM events e JOIN sp ON sp.user_id = e.user_id AND e.event_id BETWEEN sp.a AND sp.b GROUP BY 1) SELECT e.event_id, e.user_id, min(sp.event_type) AS event_type FROM events e LEFT JOIN top ON top.event_id = e.event_id LEFT JOIN sp ON sp.user_id = e.user_id AND sp.a = top.a AND e.event_id BETWEEN sp.a AND sp.b GROUP BY 1, 2")
@@ -217,9 +230,28 @@ def q_bulk_addition(s, sf):
     return t(s, sf, "documents").select("doc_id", F.round(au.bulk_addition(F.size(lines("text")), F.col("doc_id") % 7), 6).alias("score"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE trim(x, ' ' || chr(9) || chr(13)) = '') AS e, count(*) FILTER (WHERE starts_with(ltrim(x, ' ' || chr(9)), '#') OR starts_with(ltrim(x, ' ' || chr(9)), '//')) AS m, count(*) FILTER (WHERE NOT (starts_with(ltrim(x, ' ' || chr(9)), '#') OR starts_with(ltrim(x, ' ' || chr(9)), '//')) AND (starts_with(ltrim(x, ' ' || chr(9)), 'try') OR starts_with(ltrim(x, ' ' || chr(9)), 'except') OR starts_with(ltrim(x, ' ' || chr(9)), 'catch'))) AS y FROM l GROUP BY doc_id) SELECT doc_id, (CASE WHEN n < 5 THEN 0 WHEN (m + y) / greatest(n - e, 1) > 0.4 THEN 0.9 WHEN (m + y) / greatest(n - e, 1) > 0.3 THEN 0.6 WHEN (m + y) / greatest(n - e, 1) > 0.2 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+_STOCK = ", ".join(f"'{x}'" for x in spec.BOILERPLATE_LINES)
+_BOILER = f"""b0 AS (SELECT doc_id, string_split(trim(text, {_WS}), chr(10)) AS l FROM src), b1 AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM b0),
+b2 AS (SELECT doc_id, i, trim(raw, {_WS}) AS x, contains(raw, repeat(chr(34), 3)) OR contains(raw, repeat(chr(39), 3)) AS q FROM b1),
+b3 AS (SELECT *, coalesce(sum(q::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM b2),
+b4 AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE q OR inside) AS doc, count(*) FILTER (WHERE NOT (q OR inside) AND x = '') AS blank,
+count(*) FILTER (WHERE NOT (q OR inside) AND (starts_with(x, '#') OR starts_with(x, '//') OR x IN ({_STOCK}))) AS said FROM b3 GROUP BY doc_id),
+b5 AS (SELECT doc_id, total, (doc + said) / greatest(total - blank, 1) AS r FROM b4),
+boiler AS (SELECT doc_id, (CASE WHEN total < 5 THEN 0 WHEN r > 0.4 THEN 0.9 WHEN r > 0.3 THEN 0.6 WHEN r > 0.2 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM b5)"""
+#: Texts with every kind of line among their own, so that no rung stays empty.
+_CODED = """src AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), chr(10) || '# note' || chr(10)) WHEN 2 THEN replace(text, chr(10), chr(10) || '  try:' || chr(10) || 'finally:' || chr(10) || '  pass ' || chr(10) || 'tried' || chr(10)) ELSE replace(text, chr(10), chr(10) || 'x = ' || repeat(chr(34), 3) || chr(10)) END AS text FROM documents)"""
+
+
+def coded(s, sf):
+    d, k = t(s, sf, "documents"), F.col("doc_id") % 4
+    put = lambda by: F.replace(F.col("text"), F.lit("\n"), F.lit(f"\n{by}\n"))
+    return d.select("doc_id", F.when(k == 1, put("# note")).when(k == 2, put("  try:\nfinally:\n  pass \ntried")).when(k == 3, put('x = \"\"\"')).otherwise(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_CODED}, {_BOILER} SELECT doc_id, score FROM boiler")
 def q_boilerplate(s, sf):
-    return t(s, sf, "documents").select("doc_id", au.boilerplate_density(F.col("text")).alias("score"))
+    return coded(s, sf).select("doc_id", au.boilerplate_density(F.col("text")).alias("score"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), k AS (SELECT doc_id, x, length(x) - length(ltrim(x, ' ' || chr(9))) AS i FROM l WHERE trim(x, ' ' || chr(9) || chr(13)) <> ''), a AS (SELECT doc_id, count(*) AS n, coalesce(stddev_samp(length(x)), 0) AS sl, coalesce(stddev_samp(i) FILTER (WHERE i > 0), 0) AS si, count(*) FILTER (WHERE i % 4 <> 0) AS odd FROM k GROUP BY doc_id) SELECT d.doc_id, round(CASE WHEN coalesce(n, 0) < 10 THEN 0 ELSE (CASE WHEN si < 2 AND odd = 0 THEN 0.4 ELSE 0 END) + (CASE WHEN sl < 15 THEN 0.3 ELSE 0 END) END, 6)::DOUBLE AS score FROM documents d LEFT JOIN a USING (doc_id)")
@@ -231,19 +263,19 @@ def _hits(patterns):
     return " + ".join("len(regexp_extract_all(text, '" + p.replace("'", "''") + "', 0, 'im'))" for p in patterns)
 
 
-@query(f"SELECT doc_id, ({_hits(au.DEFENSIVE)})::INT AS safe, ({_hits(au.RISKY)})::INT AS risky, ({_hits(au.TELLTALE)})::INT AS telltale FROM documents")
+@query(f"SELECT doc_id, ({_hits(spec.DEFENSIVE_PATTERNS)})::INT AS safe, ({_hits(spec.RISKY_PATTERNS)})::INT AS risky, ({_hits(spec.COMMENT_PATTERNS)})::INT AS telltale FROM documents")
 def q_pattern_counts(s, sf):
     from ..functions import count_matches
 
-    return t(s, sf, "documents").select("doc_id", count_matches("text", au.DEFENSIVE).alias("safe"), count_matches("text", au.RISKY).alias("risky"), count_matches("text", au.TELLTALE).alias("telltale"))
+    return t(s, sf, "documents").select("doc_id", count_matches("text", spec.DEFENSIVE_PATTERNS, au.INSENSITIVE).alias("safe"), count_matches("text", spec.RISKY_PATTERNS, au.INSENSITIVE).alias("risky"), count_matches("text", spec.COMMENT_PATTERNS, au.INSENSITIVE).alias("telltale"))
 
 
-@query(f"WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, {_hits(au.DEFENSIVE)} AS a, {_hits(au.RISKY)} AS r FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)) SELECT doc_id, (CASE WHEN n < 10 OR r = 0 THEN 0 WHEN a / greatest(r, 1) < 0.3 THEN 0.7 WHEN a / greatest(r, 1) < 0.5 THEN 0.4 WHEN a / greatest(r, 1) < 1 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM c")
+@query(f"WITH c AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, {_hits(spec.DEFENSIVE_PATTERNS)} AS a, {_hits(spec.RISKY_PATTERNS)} AS r FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)) SELECT doc_id, (CASE WHEN n < 10 OR r = 0 THEN 0 WHEN a / greatest(r, 1) < 0.3 THEN 0.7 WHEN a / greatest(r, 1) < 0.5 THEN 0.4 WHEN a / greatest(r, 1) < 1 THEN 0.2 ELSE 0 END)::DOUBLE AS score FROM c")
 def q_missing_edge_cases(s, sf):
     return t(s, sf, "documents").select("doc_id", au.missing_edge_cases(F.col("text")).alias("score"))
 
 
-@query(f"WITH c AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS n, {_hits(au.TELLTALE)} AS m FROM documents) SELECT doc_id, (CASE WHEN n < 5 THEN 0 WHEN m / (n / 20) >= 3 THEN 0.9 WHEN m / (n / 20) >= 2 THEN 0.6 WHEN m / (n / 20) >= 1 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
+@query(f"WITH c AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS n, {_hits(spec.COMMENT_PATTERNS)} AS m FROM documents) SELECT doc_id, (CASE WHEN n < 5 THEN 0 WHEN m / (n / 20) >= 3 THEN 0.9 WHEN m / (n / 20) >= 2 THEN 0.6 WHEN m / (n / 20) >= 1 THEN 0.3 ELSE 0 END)::DOUBLE AS score FROM c")
 def q_comment_density(s, sf):
     return t(s, sf, "documents").select("doc_id", au.generated_comments(F.col("text")).alias("score"))
 
@@ -253,15 +285,12 @@ def q_complete_functions(s, sf):
     return t(s, sf, "pages").select("page_id", au.complete_functions(F.col("html")).alias("score"))
 
 
-@query("SELECT conv_id, turn, (CASE WHEN regexp_matches(text, '(?i)cursor|copilot|anthropic|claude') THEN 1.0 WHEN regexp_matches(text, '(?im)^(?:refactor|fix|update|implement|create|add)\\s+\\w+') OR regexp_matches(text, '(?im)ai-generated|auto-generated|generated') OR regexp_matches(text, '(?im)^Initial (?:setup|implementation|commit)') OR regexp_matches(text, '(?im)anthropic|ai|cursor|copilot|Co-Authored-By:.*claude') THEN 0.6 WHEN length(text) > 200 THEN 0.4 ELSE 0.0 END)::DOUBLE AS score FROM conversations")
-def q_commit_message(s, sf):
-    return t(s, sf, "conversations").select("conv_id", "turn", au.commit_message(F.col("text")).alias("score"))
+_MESSAGE = " OR ".join("regexp_matches(text, '" + p.replace("'", "''") + "', 'im')" for p in spec.MESSAGE_PATTERNS)
 
 
-@query()
-def q_ai_confidence(s, sf):
-    d = t(s, sf, "documents").select("doc_id", au.pseudo_diff(F.col("text")).alias("diff"))
-    return au.analyze(d).select("doc_id", "lines_added", "lines_removed", F.round("confidence", 6).alias("confidence"), "likely_ai", "summary")
+@query(f"SELECT conv_id, turn, (CASE WHEN regexp_matches(text, '{spec.MESSAGE_NAMES}', 'i') THEN 1.0 WHEN {_MESSAGE} THEN 0.6 WHEN length(text) > 200 THEN 0.4 ELSE 0.0 END)::DOUBLE AS score FROM conversations")
+def q_commit_message(s, sf):
+    return t(s, sf, "conversations").select("conv_id", "turn", au.commit_message(F.col("text")).alias("score"))
 
 
 @query("SELECT sum(CASE WHEN n_chars >= 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN n_chars >= 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN n_chars < 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN n_chars < 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS tn FROM documents JOIN labels USING (doc_id)")
@@ -297,17 +326,6 @@ def q_current_file(s, sf):
     return r.groupBy(F.substring_index("diff_id", ":", 1).alias("diff_id"), "file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('d1', 'a.py', '\"\"\"', 'calls system'), ('d3', 'c.js', '/*', 'holds executable code')) AS v(diff_id, file, opener, reason)")
-def q_comment_boundary(s, sf):
-    made = [
-        ("d1", 'diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,4 +1,3 @@\n-"""\n os.system(cmd)\n """\n x = 1'),
-        ("d2", 'diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1,4 +1,3 @@\n-"""\n only prose here\n """'),
-        ("d3", "diff --git a/c.js b/c.js\n--- a/c.js\n+++ b/c.js\n@@ -1,4 +1,3 @@\n-/* off\n const open = () => true\n */"),
-        ("d4", 'diff --git a/d.py b/d.py\n--- a/d.py\n+++ b/d.py\n@@ -1,2 +1,1 @@\n-"""closed"""\n run(x)'),
-    ]
-    return diffs.boundary_deletions(diffs.diff_lines(s.createDataFrame(made, "diff_id string, diff string"))).select("diff_id", "file", "opener", "reason")
-
-
 # ---- ranking and cache
 
 
@@ -334,7 +352,7 @@ def q_cache_batches(s, sf):
 
 
 def _tokens(col):
-    return "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({col}), '{n}')" for n in needles) + f" THEN '{k}' END" for k, needles in sorted(evaluate.TOKENS.items())) + ")"
+    return "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({col}), '{n}')" for n in needles) + f" THEN '{k}' END" for k, needles in sorted(spec.CATEGORY_NEEDLES.items())) + ")"
 
 
 @query(f"SELECT doc_id, {_tokens('text')} AS tokens FROM documents")
@@ -342,35 +360,6 @@ def q_category_tokens(s, sf):
     return t(s, sf, "documents").select("doc_id", F.array_join(evaluate.category_tokens(F.col("text")), ",").alias("tokens"))
 
 
-@query("WITH g AS (SELECT user_id, list_sort(list({'event_id': event_id, 'category': event_type, 'line': trunc(value)::INT})) AS l FROM events GROUP BY user_id) SELECT user_id, len(list_reduce(list_prepend([{'event_id': 0::BIGINT, 'category': '', 'line': -1000000}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.category = x[1].category AND abs(k.line - x[1].line) <= 3)) > 0 THEN acc ELSE list_concat(acc, x) END)) - 1 AS kept FROM g")
-def q_dedupe_greedy(s, sf):
-    e = t(s, sf, "events").select("user_id", "event_id", F.col("event_type").alias("category"), F.col("value").cast("int").alias("line"), F.lit("f").alias("file"))
-    return evaluate.dedupe(e, "user_id", ["event_id"], "file", "line", "category").groupBy("user_id").agg(F.count("*").alias("kept"))
-
-
-_PAIRS = "f AS (SELECT user_id, event_id AS f, trunc(value)::INT AS line FROM events WHERE event_type = 'error'), t AS (SELECT user_id, event_id AS t, trunc(value)::INT AS line FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, abs(f.line - t.line) AS dist, f, t FROM f JOIN t USING (user_id) WHERE abs(f.line - t.line) <= 5)"
-
-
-def findings_truth(s, sf):
-    e = t(s, sf, "events").select("user_id", "event_id", "event_type", F.col("value").cast("int").alias("line"))
-    f = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("f"), "line")
-    tr = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("t"), F.col("line").alias("line_start"), F.col("line").alias("line_end"))
-    return f, tr
-
-
-@query(f"WITH {_PAIRS}, g AS (SELECT user_id, list_sort(list({{'dist': dist, 'f': f, 't': t}})) AS l FROM c GROUP BY user_id) SELECT user_id, len(list_reduce(list_prepend([{{'dist': -1, 'f': -1::BIGINT, 't': -1::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.f = x[1].f OR k.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END)) - 1 AS matched FROM g")
-def q_match_greedy(s, sf):
-    f, tr = findings_truth(s, sf)
-    return evaluate.greedy_match(evaluate.candidates(f, tr, "user_id"), "user_id").groupBy("user_id").agg(F.count("*").alias("matched"))
-
-
-@query(f"WITH {_PAIRS} SELECT count(*) AS n_truth, (SELECT count(DISTINCT t) FROM c) AS located FROM t")
-def q_loc_only_recall(s, sf):
-    f, tr = findings_truth(s, sf)
-    c = evaluate.candidates(f, tr, "user_id").select("t").distinct().withColumn("hit", F.lit(1))
-    return tr.join(c, "t", "left").agg(F.count("*").alias("n_truth"), F.count("hit").alias("located"))
-
-
 @query("WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS tp, count(*) FILTER (WHERE o_orderstatus = 'O') AS fp, count(*) FILTER (WHERE o_orderstatus = 'P') AS fn FROM orders GROUP BY o_custkey) SELECT o_custkey, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6)::DOUBLE AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6)::DOUBLE AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1 FROM c")
 def q_prf(s, sf):
     c = t(s, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("tp"), F.count_if(F.col("o_orderstatus") == "O").alias("fp"), F.count_if(F.col("o_orderstatus") == "P").alias("fn"))
@@ -378,13 +367,6 @@ def q_prf(s, sf):
     return out.select("o_custkey", "tp", "fp", "fn", *(F.round(m, 6).alias(m) for m in ("precision", "recall", "f1")))
 
 
-@query("WITH h AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 45) SELECT count(*) AS n_files, count(h.l_suppkey) AS n_detected, round(count(h.l_suppkey) / count(*), 6)::DOUBLE AS recall, string_agg(CASE WHEN h.l_suppkey IS NULL THEN s_suppkey::VARCHAR END, ',' ORDER BY s_suppkey::VARCHAR) AS missed FROM supplier LEFT JOIN h ON h.l_suppkey = s_suppkey")
-def q_file_detection(s, sf):
-    hit = t(s, sf, "lineitem").filter("l_discount > 0.09 and l_quantity > 45").select(F.col("l_suppkey").cast("string").alias("file"))
-    out = evaluate.file_detection(t(s, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("file")), hit)
-    return out.select("n_files", "n_detected", F.round("recall", 6).alias("recall"), F.nullif(F.array_join("missed", ","), F.lit("")).alias("missed"))
-
-
 @query("WITH m AS (SELECT o_orderkey AS id, count(DISTINCT l_linenumber) AS c FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderpriority AS category, count(*) AS n, count(m.c) AS any_run, round(coalesce(sum(m.c), 0) / (count(*) * 7), 6)::DOUBLE AS mean_recall FROM orders LEFT JOIN m ON m.id = o_orderkey GROUP BY 1")
 def q_per_category(s, sf):
     truth = t(s, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("category"))
@@ -398,45 +380,59 @@ def q_over_runs(s, sf):
     return r.select("o_custkey", F.round("price_mean", 4).alias("price_mean"), F.round("price_std", 4).alias("price_std"), F.size("price_values").alias("n"))
 
 
-@query("SELECT event_id, (json_extract(props, '$.k'))::INT AS k FROM events")
-def q_sarif_like(s, sf):
-    return t(s, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+_KIND = "CASE event_type WHEN 'error' THEN 'SQL injection' WHEN 'purchase' THEN 'Auth Bypass' WHEN 'click' THEN 'Injection' ELSE 'XSS' END"
+_FOUND = f"f AS (SELECT user_id AS run, event_id AS ord, {_KIND} AS category, concat('src/F', event_id % 2, '.py') AS file, trunc(value)::BIGINT AS line FROM events)"
 
 
-@query("SELECT 'r' || (page_id % 3) AS run, page_id, 'HIGH' AS severity, 'SQL issue' AS category, url || '.py:' || page_id AS place FROM (SELECT page_id, 'p' || page_id AS url FROM pages)")
-def q_parse_findings(s, sf):
-    p = t(s, sf, "pages").select("page_id", F.concat(F.lit("r"), F.col("page_id") % 3).alias("run"), F.concat(F.lit("## [SEVERITY: high] Title\n**Category:** SQL issue\n**Location:** `p"), "page_id", F.lit(".py:"), "page_id", F.lit("`\n---\n")).alias("x"))
-    reports = p.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "x"))), lambda r: r["x"]), "").alias("text"))
-    got = evaluate.parse_findings(reports)
-    return got.select("run", F.col("locations")[0]["line"].cast("bigint").alias("page_id"), "severity", "category", F.concat(F.col("locations")[0]["file"], F.lit(":"), F.col("locations")[0]["line"]).alias("place"))
+def event_findings(s, sf):
+    """Events as findings of a run for each user, in one of two files."""
+    kind = F.when(F.col("event_type") == "error", "SQL injection").when(F.col("event_type") == "purchase", "Auth Bypass").when(F.col("event_type") == "click", "Injection").otherwise("XSS")
+    place = F.struct(F.concat(F.lit("src/F"), F.col("event_id") % 2, F.lit(".py")).alias("file"), F.col("value").cast("long").alias("line"))
+    return t(s, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), kind.alias("category"), F.array(place).alias("locations"))
 
 
-# ---- statistics
+@query(f"WITH {_FOUND}, g AS (SELECT run, list_sort(list({{'ord': ord, 'category': category, 'file': file, 'line': line}})) AS l FROM f GROUP BY run) SELECT run, len(list_reduce(list_prepend([{{'ord': 0::BIGINT, 'category': '', 'file': '', 'line': -1000000::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.file = x[1].file AND (k.category = x[1].category OR (contains(k.category, 'njection') AND contains(x[1].category, 'njection'))) AND abs(k.line - x[1].line) <= 3)) > 0 THEN acc ELSE list_concat(acc, x) END)) - 1 AS kept FROM g")
+def q_dedupe_greedy(s, sf):
+    return evaluate.dedupe(event_findings(s, sf)).groupBy("run").agg(F.count("*").alias("kept"))
 
 
-@query("SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS neither FROM documents JOIN labels USING (doc_id) GROUP BY source")
-def q_paired_table(s, sf):
-    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
-    return stats.paired_table(d, "a", "b", ["source"])
+_TRUTHS = "tr AS (SELECT p_partkey - 1 AS ord, concat('lib/f', p_partkey % 2, '.PY') AS file, (p_partkey * 7) % 500 AS a, (p_partkey * 7) % 500 + p_size % 5 AS b, p_size % 3 AS k FROM part WHERE p_partkey <= 60)"
+_PAIRS = f"{_FOUND}, {_TRUTHS}, c AS (SELECT run, f.ord AS f, tr.ord AS t, greatest(a - line, line - b, 0) AS dist, (k = 0 AND category IN ('SQL injection', 'Injection')) OR (k = 1 AND category = 'Auth Bypass') OR (k = 2 AND category = 'XSS') AS agree FROM f JOIN tr ON lower(replace(f.file, 'src/', '')) = lower(replace(tr.file, 'lib/', '')) AND greatest(a - line, line - b, 0) <= 5)"
 
 
-@query("WITH g AS (SELECT DISTINCT b, c FROM range(0, 13) x(b), range(0, 13) y(c)), p AS (SELECT b, c, least(b, c) AS m, b + c AS n FROM g), q AS (SELECT b, c, n, unnest(range(0, m + 1)) AS i FROM p) SELECT b::INT AS b, c::INT AS c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(gamma(n + 1) / (gamma(i + 1) * gamma(n - i + 1))) / pow(2.0, n)) END, 6)::DOUBLE AS p FROM q GROUP BY b, c, n")
-def q_mcnemar(s, sf):
-    g = s.range(13).select(F.col("id").cast("int").alias("b")).crossJoin(s.range(13).select(F.col("id").cast("int").alias("c")))  # a fixed grid of 169 rows
-    return g.select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))
+def part_truth(s, sf):
+    """Sixty planted flaws, of three categories, from the first parts."""
+    p, k = F.col("p_partkey"), F.col("p_size") % 3
+    kind = F.when(k == 0, "sqli").when(k == 1, "permission").otherwise("cross-site scripting")
+    return t(s, sf, "part").filter("p_partkey <= 60").select((p - 1).alias("ord"), p.cast("string").alias("id"), F.concat(F.lit("lib/f"), p % 2, F.lit(".PY")).alias("file"), ((p * 7) % 500).alias("line_start"), ((p * 7) % 500 + F.col("p_size") % 5).alias("line_end"), F.array(kind).alias("accepted"), kind.alias("category"), F.lit(False).alias("provisional"))
 
 
-@query()
-def q_fisher(s, sf):
-    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("x"), (F.col("toxic") == 1).alias("y"))
-    tab = stats.paired_table(d, "x", "y", ["source"]).select("source", F.col("both").alias("a"), F.col("only_a").alias("b"), F.col("only_b").alias("c"), F.col("neither").alias("d"))
-    return stats.fisher_table(tab).withColumn("p", F.round("p", 6))
+@query(f"WITH {_PAIRS}, g AS (SELECT run, list_sort(list({{'dist': dist, 'f': f, 't': t}})) AS l FROM c WHERE agree GROUP BY run), m AS (SELECT run, list_reduce(list_prepend([{{'dist': -1::BIGINT, 'f': -1::BIGINT, 't': -1::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.f = x[1].f OR k.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM g) SELECT run, len(m) - 1 AS matched, (SELECT sum(x.dist) FROM unnest(m) AS u(x)) + 1 AS distance FROM m")
+def q_match_greedy(s, sf):
+    matched, _ = evaluate.match(event_findings(s, sf), part_truth(s, sf))
+    return matched.groupBy("run").agg(F.count("*").alias("matched"), F.sum("dist").alias("distance"))
 
 
-@query()
-def q_bootstrap(s, sf):
-    r = t(s, sf, "region").join(t(s, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("arm"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
-    return stats.bootstrap(r, "arm", "v", "n_nationkey", 2000)
+@query(f"WITH {_PAIRS} SELECT run, count(DISTINCT t) AS located FROM c GROUP BY run")
+def q_loc_only_recall(s, sf):
+    return evaluate.location_recall(event_findings(s, sf), part_truth(s, sf)).groupBy("run").agg(F.count("*").alias("located"))
+
+
+@query("WITH h AS (SELECT DISTINCT c_nationkey AS k FROM customer), a AS (SELECT s_suppkey::VARCHAR AS file, s_nationkey IN (SELECT k FROM h WHERE k % 3 <> 1) AS hit FROM supplier) SELECT count(*) AS n_files, count(*) FILTER (WHERE hit) AS n_detected, round(count(*) FILTER (WHERE hit) / count(*), 6)::DOUBLE AS recall, string_agg(CASE WHEN NOT hit THEN file END, ',' ORDER BY file) AS missed FROM a")
+def q_file_detection(s, sf):
+    f = t(s, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("file"), "s_nationkey")
+    hit = f.join(t(s, sf, "customer").select(F.col("c_nationkey").alias("s_nationkey")), "s_nationkey").filter("s_nationkey % 3 <> 1").select("file")
+    out = evaluate.file_detection(f, hit)
+    return out.select("n_files", "n_detected", F.round("recall", 6).alias("recall"), F.nullif(F.array_join("missed", ","), F.lit("")).alias("missed"))
+
+
+# ---- statistics
+
+
+@query("SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS neither FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def q_paired_table(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    return stats.paired_table(d, "a", "b", ["source"])
 
 
 @query("WITH m AS (SELECT r_name AS k, avg(n_nationkey) AS v FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1) SELECT x.k AS a, y.k AS b, round(x.v - y.v, 6) AS difference FROM m x JOIN m y ON x.k < y.k")
@@ -461,13 +457,38 @@ def q_run_distribution(s, sf):
     return d.select("c_mktsegment", "least", "most", F.round("mean", 4).alias("mean"), F.size("points").alias("n"))
 
 
+_LN = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+_SIZES = "(VALUES (0), (1), (2), (3), (5), (8), (12), (40), (150), (600), (900), (2500)) AS {0}({0})"
+
+
+@query(f"WITH p AS (SELECT b, c, least(b, c) AS m, b + c AS n FROM {_SIZES.format('b')}, {_SIZES.format('c')}), q AS (SELECT b, c, n, unnest(range(0, m + 1)) AS i FROM p) SELECT b::INT AS b, c::INT AS c, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp({_LN.format('n', 'i')} - n * ln(2.0)))) END, 6)::DOUBLE AS p FROM q GROUP BY b, c, n")
+def q_mcnemar(s, sf):
+    one = lambda k: s.createDataFrame([(x,) for x in (0, 1, 2, 3, 5, 8, 12, 40, 150, 600, 900, 2500)], f"{k} int")
+    return one("b").crossJoin(one("c")).select("b", "c", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6).alias("p"))  # a fixed grid
+
+
+@query(f"WITH t AS (SELECT source, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS d FROM documents JOIN labels USING (doc_id) GROUP BY source), x AS (SELECT *, a + b AS r, a + c AS k, b + d AS k2, a + b + c + d AS n, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t), p AS (SELECT *, exp({_LN.format('k', 'i')} + {_LN.format('k2', '(r - i)')} - {_LN.format('n', 'r')}) AS p, exp({_LN.format('k', 'a')} + {_LN.format('k2', '(r - a)')} - {_LN.format('n', 'r')}) AS seen FROM x) SELECT source, a, b, c, d, round(least(1.0, sum(p) FILTER (WHERE p <= seen * (1 + 1e-9) + 1e-12)), 6)::DOUBLE AS p FROM p GROUP BY source, a, b, c, d")
+def q_fisher(s, sf):
+    d = t(s, sf, "documents").select("doc_id", "source").join(t(s, sf, "labels"), "doc_id").select("source", (F.col("quality") == 1).alias("x"), (F.col("toxic") == 1).alias("y"))
+    tab = stats.paired_table(d, "x", "y", ["source"]).select("source", F.col("both").alias("a"), F.col("only_a").alias("b"), F.col("only_b").alias("c"), F.col("neither").alias("d"))
+    return stats.fisher_table(tab).withColumn("p", F.round("p", 6))
+
+
+@query()
+def q_bootstrap(s, sf):
+    """Seeded draws of Python's generator: beyond SQL; the tests repeat them plainly."""
+    r = t(s, sf, "region").join(t(s, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("arm"), "n_nationkey", F.col("n_nationkey").cast("double").alias("v"))
+    return stats.bootstrap(r, "arm", "v", "n_nationkey", 2000)
+
+
 # ---- cost
 
 
-@query("SELECT user_id, round(sum(value / 1e6 * CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 5.0 WHEN 'purchase' THEN 3.0 ELSE 15.0 END), 10) AS usd FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view') GROUP BY user_id")
+@query("SELECT user_id, round(sum(value / 1e6 * CASE event_type WHEN 'click' THEN 1.0 WHEN 'error' THEN 5.0 WHEN 'purchase' THEN 3.0 ELSE 15.0 END), 10) AS usd FROM events GROUP BY user_id")
 def q_usd(s, sf):
-    prices = s.createDataFrame([("click", 1.0), ("error", 5.0), ("purchase", 3.0), ("view", 15.0)], "meter string, per_million double")
-    return cost.usd(t(s, sf, "events").select("user_id", F.col("event_type").alias("meter"), F.col("value").alias("tokens")), prices, ["user_id"]).withColumn("usd", F.round("usd", 10))
+    meter = F.when(F.col("event_type").isin("click", "error", "purchase"), F.col("event_type")).otherwise("other")
+    prices = s.createDataFrame([("click", 1.0), ("error", 5.0), ("purchase", 3.0), ("other", 15.0)], "meter string, per_million double")
+    return cost.usd(t(s, sf, "events").select("user_id", meter.alias("meter"), F.col("value").alias("tokens")), prices, ["user_id"]).withColumn("usd", F.round("usd", 10))
 
 
 def ledger(s, sf):
@@ -512,17 +533,9 @@ def q_stage_shares(s, sf):
     return cost.stage_shares(t(s, sf, "orders").select(F.col("o_orderstatus").alias("b"), F.col("o_orderpriority").alias("stage"), "o_totalprice"), "b", "stage", "o_totalprice").select("b", "stage", F.round("mean_s", 3).alias("mean_s"), F.round("pct", 6).alias("pct"))
 
 
-@query("WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM u UNION SELECT * FROM p) UNION ALL SELECT 'intersection', count(*) FROM (SELECT * FROM u INTERSECT SELECT * FROM p) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM u EXCEPT SELECT * FROM p)")
-def q_set_ops(s, sf):
-    e = t(s, sf, "events")
-    u, p = (e.filter(F.col("event_type") == k).select("user_id").distinct() for k in ("error", "purchase"))
-    one = lambda d, k: d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n")
-    return one(u.union(p).distinct(), "union").union(one(u.intersect(p), "intersection")).union(one(u.subtract(p), "only_a"))
-
-
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | code_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | code_queries.oracle_sql()
