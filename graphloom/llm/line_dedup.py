@@ -30,6 +30,9 @@ MIN_WORDS = 5
 MIN_CHARS = 40
 MIN_SIGNS = 10
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+OTHER = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Anything but the blank that may be white space, and little else; most signs pass the first range or two.
+SOME_OTHER = "[^ -~\xa1-\u167f\u3001-\uffff]"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 LONG = f"^(?:(?:[^{WHITE}]++[{WHITE}]++){{{MIN_WORDS - 1}}}[^{WHITE}]|(?:[^{UNSPACED}]*+[{UNSPACED}]){{{MIN_SIGNS}}})"
 HALF_WORDS = 12
@@ -41,7 +44,10 @@ def form(line: Column) -> Column:
 
 
 def split_words(form: Column) -> Column:
-    return F.split(form, f"[{WHITE}]+")
+    """Words between white space of any kind. Most forms hold single blanks only, which need no pattern; a test for the
+    others takes a few ranges that hold all white space, as a class of many signs is slow on every other sign."""
+    plain = F.when(form.contains("  "), F.split(form, " +")).otherwise(F.split(form, " "))
+    return F.when(form.rlike(SOME_OTHER), F.split(form, f"[{OTHER}]+")).otherwise(plain)
 
 
 def candidate(trimmed: Column) -> Column:
