@@ -146,6 +146,13 @@ def near_forms(docs: DataFrame, forms: DataFrame, text_col: str) -> DataFrame:
     return some.join(gone, "id", "left_semi").select("key")
 
 
+def marks(kept: Column, n: Column) -> Column:
+    """A sign for each of n lines, 1 if its number is among those kept (in order); linear in the lines."""
+    before = lambda i: F.coalesce(F.get(kept, i - 1), F.lit(-1))
+    ones = F.array_join(F.transform(kept, lambda x, i: F.concat(F.repeat(F.lit("0"), x - before(i) - 1), F.lit("1"))), "")
+    return F.split(F.rpad(F.coalesce(ones, F.lit("")), n, "0"), "")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
     """All rows and columns of docs, text without its redundant lines, and _lines, _removed (counts; columns of docs with
     these two names are replaced)."""
@@ -157,12 +164,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
     if near:
         forms = stored(forms, "forms")
         forms = forms.join(near_forms(slim, forms, "text"), "key", "left_anti")
-    kept = forms.groupBy(F.col("place._row").alias("_their_row")).agg(F.collect_set("place.line").alias("_kept"))
-    lines = F.split("text", "\n", -1)
-    out = keyed.join(kept, F.col("_row") == F.col("_their_row"), "left").withColumn("_all", F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    stays = F.filter("_all", lambda l: ~candidate(F.trim(l["x"], F.lit(WHITE))) | F.coalesce(F.array_contains("_kept", l["i"]), F.lit(False)))
-    out = out.withColumn("_stays", stays)
-    left = F.array_join(F.transform("_stays", lambda l: l["x"]), "\n")
+    kept = forms.groupBy(F.col("place._row").alias("_their_row")).agg(F.sort_array(F.collect_set("place.line")).alias("_kept"))
+    out = keyed.join(kept, F.col("_row") == F.col("_their_row"), "left").withColumn("_all", F.split("text", "\n", -1)).withColumn("_marks", marks(F.col("_kept"), F.size("_all")))
+    first = F.zip_with("_all", "_marks", lambda x, m: F.when((m == "1") | ~candidate(F.trim(x, F.lit(WHITE))), x))
+    out = out.withColumn("_stays", F.array_compact(first))
+    left = F.array_join("_stays", "\n")
     n, m = (F.when(F.col("text").isNull(), 0).otherwise(F.size(c).cast("long")) for c in ("_all", "_stays"))
     own = {id_col: F.col("id"), text_col: left}
     return out.select(*(own.get(c, F.col("rest")[c]).alias(c) for c in docs.columns if c not in ("_lines", "_removed")), n.alias("_lines"), (n - m).alias("_removed"))
