@@ -36,7 +36,7 @@ SOME_OTHER = "[^ -~\xa1-\u167f\u3001-\uffff]"
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 LONG = f"^(?:(?:[^{WHITE}]++[{WHITE}]++){{{MIN_WORDS - 1}}}[^{WHITE}]|(?:[^{UNSPACED}]*+[{UNSPACED}]){{{MIN_SIGNS}}})"
 HALF_WORDS = 12
-CHUNK = 64
+CHUNK = 8
 
 
 def form(line: Column) -> Column:
