@@ -8,8 +8,10 @@ shorter than a window are looked up whole, by hashes of exactly their length.
 The test side is taken in blocks of at most BLOCK_BYTES, each sent to the executors; more blocks mean more passes, never
 a larger broadcast.
 
-Defined cases: null and empty texts have no words; items without words never occur; repeated items count once by
-item_id; other columns are ignored; without items, nothing is contaminated.
+Defined cases: null and empty texts have no words; texts of any length are searched whole; items without words never occur;
+items that repeat count once by item_id, and an item without one marks words but has no name to list; rows that repeat, or
+have a null doc_id, are judged one by one; equal fingerprints (ties) are all kept; other columns, whatever their names, are
+ignored; without items, nothing is contaminated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -150,7 +152,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                         s.append({"s": p, "e": p + m})
                     items[t] |= got
                 cols = [column(rows, c) for c in keep]
-                cols += [pa.array(n.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))]
+                cols += [pa.array(n.astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(str(i) for i in x if i is not None) for x in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_words", "spans", "items"])
 
         return docs.mapInArrow(run, schema)

@@ -17,7 +17,9 @@ deviations below) with one of some 1e-5. Not in that figure: a class of which ha
 hot stays out of the long lists, even if those values are in no list at all, and its links there are missed.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer than K words are one
-shingle; rows with a null doc_id link with nothing; other columns are ignored; an empty table gives no rows.
+shingle; texts of any length are read whole; rows with a null doc_id link with nothing; rows that repeat come back as often
+as they came; equal estimates (ties) go to the pair of smaller ids; other columns, whatever their names, are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

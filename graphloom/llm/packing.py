@@ -8,8 +8,10 @@ the capacity, not on the corpus. Ranks come from counts by (partition, length) a
 
 A document longer than the capacity is cut into capacity-sized pieces, the remainder first.
 
-Defined cases: null text is empty (the end id alone); repeated rows are packed as often as they come; an empty table
-gives no rows; other columns are ignored.
+Defined cases: null text is empty (the end id alone); a text of any length is cut into pieces; a marker string of the
+vocabulary within a text is its own id, as the library reads it; a null doc_id is packed like any other and stays null;
+pieces of one length are ties, ranked by task and place; rows that repeat are packed as often as they come; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

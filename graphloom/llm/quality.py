@@ -7,13 +7,14 @@ its n-grams. Gumbel noise, a function of the seed and doc_id, is added to it, an
 
 For the decision to keep a document two statistics of the same log ratios are used: their mean, and the lowest sum of
 negative ones over WINDOW n-grams in a row, which shows one foul word in a long clean text. Both thresholds are set on
-labelled documents that the models did not see: as high as they can be while at most FALSE_REJECTS of the good fall under.
+labelled documents that the target model did not see: as high as they can be while at most FALSE_REJECTS of the good fall under.
 
 The labelled rows used are a sample of at most MAX_LABELS, by hash of doc_id. Raw counts cover all documents. Only the
 BUCKETS counts come to the driver, whatever the corpus.
 
-Defined cases: null and empty texts have no n-grams, weight 0 and are kept; ties in the resampling go to the smaller
-doc_id; without labels all is kept; repeated rows are judged one by one; other columns are ignored.
+Defined cases: null and empty texts have no n-grams, weight 0 and are kept; texts of any length are read whole; ties in the
+resampling go to the smaller doc_id, a null one last, and exactly k rows are taken; without labels all is kept; a null
+doc_id has no label; repeated rows are judged one by one; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ._text import column, mix, powers, prefix_hash, slices
+from ._text import column, mix, powers, prefix_hash, slices, stored
 
 GRAM = 5
 BUCKETS = 1 << 18
 WINDOW = 6
+BINS = 1 << 16
 MAX_LABELS = 40_000
 FALSE_REJECTS = 0.002
 PRIOR = 5.0
@@ -109,23 +111,24 @@ def threshold(good: np.ndarray, bad: np.ndarray, allowed: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> dict:
-    """Models and thresholds; ``heldout`` has the figures on the labelled documents that the models did not see."""
+    """Models and thresholds. Of the labelled sample, by hash, half makes the target model, a quarter sets the thresholds,
+    and ``heldout`` has the figures on the last quarter, which neither has seen."""
     sample = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic", F.xxhash64(F.lit(5), "doc_id").alias("h")).orderBy("h", "doc_id").limit(max_labels).toPandas()
     good = ((sample.quality == 1) & (sample.toxic == 0)).to_numpy()
-    held = (sample.h.to_numpy() % 4 == 0)
+    part = sample.h.to_numpy() % 4
+    held, unseen = part == 0, part == 1
     ids = sample.doc_id.to_numpy(np.int64)
-    raw, target = counted(docs, np.unique(ids[good & ~held]))
+    raw, target = counted(docs, np.unique(ids[good & (part > 1)]))
     ratio = np.log((target + PRIOR) / (raw * (target.sum() / max(1.0, raw.sum())) + PRIOR)) if target.any() else np.zeros(BUCKETS)
-    seen = docs.sparkSession.createDataFrame(sample[held][["doc_id"]].astype("int64")) if held.any() else docs.sparkSession.createDataFrame([], "doc_id long")
-    got = scored(docs.join(F.broadcast(seen.distinct()), "doc_id", "left_semi"), ratio).toPandas()
-    label = dict(zip(ids[held], good[held], strict=True))
-    is_good = np.array([label[i] for i in got.doc_id], bool)
-    cut = {}
-    for c in ("mean_ratio", "lowest"):
-        x = got[c].to_numpy()
-        cut[c] = threshold(x[is_good], x[~is_good], FALSE_REJECTS)
+    either = held | unseen
+    asked = docs.sparkSession.createDataFrame([(int(i),) for i in np.unique(ids[either])], "doc_id long")
+    got = scored(docs.join(F.broadcast(asked), "doc_id", "left_semi"), ratio).toPandas()  # at most half of max_labels ids
+    label, role = dict(zip(ids[either], good[either], strict=True)), dict(zip(ids[either], held[either], strict=True))
+    is_good, sets = (np.array([d[i] for i in got.doc_id], bool) for d in (label, role))
+    cut = {c: threshold(got[c].to_numpy()[sets & is_good], got[c].to_numpy()[sets & ~is_good], FALSE_REJECTS) for c in ("mean_ratio", "lowest")}
     out = (got.mean_ratio < cut["mean_ratio"]) | (got.lowest < cut["lowest"])
-    stats = {"good": int(is_good.sum()), "bad": int((~is_good).sum()), "good_rejected": int((out & is_good).sum()), "bad_rejected": int((out & ~is_good).sum())}
+    told = lambda x: int((x & ~sets).sum())
+    stats = {"good": told(is_good), "bad": told(~is_good), "good_rejected": told(out & is_good), "bad_rejected": told(out & ~is_good)}
     return {"ratio": ratio, "mean_ratio": cut["mean_ratio"], "lowest": cut["lowest"], "heldout": stats}
 
 
@@ -138,24 +141,35 @@ def judged(docs: DataFrame, model: dict, extra: list[str] = ()) -> DataFrame:
     return scored(docs, model["ratio"], extra).withColumn("kept", (F.col("n_grams") == 0) | ok)
 
 
-def resample(scores: DataFrame, k: int, seed: int = 11) -> DataFrame:
-    """Adds gumbel (log weight plus noise) and sampled: whether it is among the k highest of all rows.
+def least(rows: DataFrame, value: str, k: int) -> tuple:
+    """The k-th smallest value (k > 0), and how many rows are below it, by counts of ever narrower ranges: each pass
+    brings at most BINS counts to the driver, however the values lie."""
+    lo, hi = rows.agg(F.min(value), F.max(value)).first()
+    below = 0
+    while lo < hi:
+        at = F.floor((F.col(value) - F.lit(lo)) / F.lit(float(hi) - float(lo)) * BINS)
+        inside = rows.filter(F.col(value).between(F.lit(lo), F.lit(hi)))
+        for b in inside.groupBy(F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).alias("c")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).orderBy("lo").collect():  # at most BINS counts
+            if below + b.n >= k:
+                break
+            below += b.n
+        lo, hi = b.lo, b.hi
+    return lo, below
 
-    The k-th highest is found from counts of value ranges; only rows of the one range that holds it are ranked.
-    """
+
+def resample(scores: DataFrame, k: int, seed: int = 11) -> DataFrame:
+    """Adds gumbel (log weight plus noise) and sampled: whether a row is among the k highest, of all rows. Exactly k rows
+    are, if there are so many: ties go to the smaller doc_id (a null one last), then to one of the rows that repeat."""
     u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / F.lit(float(1 << 52))
-    noisy = scores.withColumn("gumbel", F.col("log_weight") - F.log(-F.log(u)))
-    lo, hi, n = noisy.agg(F.min("gumbel"), F.max("gumbel"), F.count("*")).first()
-    if not n or k >= n:
-        return noisy.withColumn("sampled", F.lit(True))
-    width = max(hi - lo, 1e-9) / 65536
-    noisy = noisy.withColumn("_c", F.floor((F.lit(hi) - F.col("gumbel")) / F.lit(width)))
-    above = 0
-    for c, m in noisy.groupBy("_c").agg(F.count("*").alias("m")).orderBy("_c").collect():  # at most 65,537 counts
-        if above + m >= k:
-            break
-        above += m
-    edge = noisy.filter(F.col("_c") == c).select("doc_id", "gumbel").withColumn("_r", F.row_number().over(Window.orderBy(F.col("gumbel").desc(), "doc_id")))
-    last = edge.filter(F.col("_r") == k - above).select("gumbel", "doc_id").first()
-    taken = (F.col("gumbel") > F.lit(last[0])) | ((F.col("gumbel") == F.lit(last[0])) & (F.col("doc_id") <= F.lit(last[1])))
-    return noisy.withColumn("sampled", taken).drop("_c")
+    noisy = stored(scores.withColumn("gumbel", F.col("log_weight") - F.log(-F.log(u))).withColumn("_u", F.monotonically_increasing_id()), "resampled")
+    if k >= noisy.count():
+        return noisy.withColumn("sampled", F.lit(True)).drop("_u")
+    ranked = noisy.withColumn("_g", -F.col("gumbel")).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    tied, same, taken, left = ranked.select("_g", "_d", "_u"), F.lit(True), F.lit(False), k
+    for c in ("_g", "_d", "_u") if k > 0 else ():
+        border, below = least(tied, c, left)
+        taken = taken | (same & (F.col(c) < F.lit(border)))
+        same, left = same & (F.col(c) == F.lit(border)), left - below
+        tied = tied.filter(F.col(c) == F.lit(border))
+    taken = (taken | same) if k > 0 else taken
+    return ranked.withColumn("sampled", taken).drop("_u", "_g", "_d")

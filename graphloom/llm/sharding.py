@@ -7,8 +7,9 @@ sources in the proportions of the whole. Law: ``rows``.
 No window ever spans a source or the corpus: ranks come from row numbers within small (source, hash range) cells plus
 running sums of the cells' counts, in two levels.
 
-Defined cases: null text has no bytes; null sources are one source; repeated rows are dealt one by one; an empty table
-gives no rows; other columns are ignored.
+Defined cases: null text has no bytes; a text of any length is one row; null sources are one source; a null doc_id is dealt
+like any other and stays null; ties in the random order go by doc_id and size, and rows that repeat are dealt one by one;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._text import stored
 
-CELL = 4096
+CELL = 1024
 FAN = 1024
 
 

@@ -17,8 +17,9 @@ once, compressed, into the shared folder:
 A block sends a run once however many of its documents hold it, so a passage of a third of all documents is as many
 rows as there are blocks. Shards number with the input.
 
-Defined cases: null text is empty; texts shorter than SPAN keep everything; rows with one doc_id never remove each
-other's bytes; a null doc_id counts as the largest; other columns are ignored; an empty table gives no rows.
+Defined cases: null text is empty; texts shorter than SPAN keep everything; a text of any length is in one block; rows with
+one doc_id, also rows that repeat, never remove each other's bytes; a null doc_id counts as the largest there is, ties with
+that one included, and stays null; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -149,10 +150,10 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
         z, k = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
         for rows, data, off in slices(batches, size=BLOCK_BYTES):
             ids = column(rows, "doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.asarray(ids.fill_null(NULL_ID)).astype("<i8").tobytes()]), pa.array([off.astype("<i8").tobytes()]), pa.array([z.compress(data.tobytes())])], ["block", "ids", "off", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.asarray(ids.fill_null(NULL_ID)).astype("<i8").tobytes()]), pa.array([np.asarray(ids.is_null()).tobytes()]), pa.array([off.astype("<i8").tobytes()]), pa.array([z.compress(data.tobytes())])], ["block", "ids", "no_id", "off", "data"])
             k += 1
 
-    return docs.mapInArrow(run, "block long, ids binary, off binary, data binary")
+    return docs.mapInArrow(run, "block long, ids binary, no_id binary, off binary, data binary")
 
 
 def unpacked(row: dict, span: int, anchor: int) -> tuple[np.ndarray, Runs]:
@@ -281,7 +282,7 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_col: str =
                     left = runs.data[a:b][~r].tobytes()
                 else:
                     spans, left = [], runs.data[a:b].tobytes()
-                out.append((None if ids[i] == NULL_ID else int(ids[i]), b - a, int(r.sum()), len(spans), hashlib.sha256(left).hexdigest(), spans, *([left] if with_text else [])))
+                out.append((None if row["no_id"][i] else int(ids[i]), b - a, int(r.sum()), len(spans), hashlib.sha256(left).hexdigest(), spans, *([left] if with_text else [])))
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_bytes"][: len(cols)])

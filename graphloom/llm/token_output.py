@@ -2,15 +2,17 @@
 
 Record: ``length u64 | masked crc32c(length) u32 | payload | masked crc32c(payload) u32`` (all little-endian). The
 payload holds the ids as unsigned 16-bit integers where the vocabulary allows it, else 32-bit ones. Beside each record
-file stands an index, one entry a record (``doc_id i64, offset u64, n_ids u64``), so that a reader can visit records
+file stands an index, one entry a record (``doc_id i64, offset u64, n_ids u64, no_id u8``), so that a reader can visit records
 in any order without scanning.
 
-Documents are encoded where they lie; only ids are dealt out, by ranges of doc_id, and each range is sorted and written
-as a stream, so memory is bounded by one batch. A manifest, committed by Spark, names the files of the task attempts
-that succeeded; files of lost or repeated attempts are never read.
+Documents are dealt out by ranges of doc_id (and of a hash of the text, so that one id on many rows is no one task's work);
+each range is sorted, encoded and written as a stream, so memory is bounded by one slice of a batch. A manifest, committed
+by Spark, names the files of the task attempts that succeeded; files of lost or repeated attempts are never read.
 
-Defined cases: null text is empty; an empty text is the end id alone; a null doc_id sorts first; rows that repeat are
-written as often as they come, ordered by their ids; an empty table gives no files; other columns are ignored.
+Defined cases: null text is empty; an empty text is the end id alone; a null doc_id sorts first and stays null; rows that
+share a doc_id, or repeat, are written as often as they come, in an order that depends on their texts alone; a text of any
+length is one record; a marker string of the vocabulary within a text is its own id, as the library reads it; an empty table
+gives no files; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ._text import column, shared_dir, slices, total_bytes
 from ._tok import default_path, encoder
+from .sharding import running
 
 FILE_BYTES = 64 << 20
-NULL_ID = -(1 << 63)
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8")])
+INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_ids", "<u8"), ("no_id", "?")])
 BLOCK = 256
 
 
@@ -122,44 +124,23 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", bounds: list[int] = ()) -> DataFrame:
-    """(bucket, doc_id, ids): each text's ids with the end id, packed little-endian; buckets are ranges of doc_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        width = np.dtype("<u2") if enc.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        edges = np.asarray(bounds, np.int64)
-        for rows, data, off in slices(batches):
-            ids, first = enc(data, off)
-            n = len(off) - 1
-            out = np.full(len(ids) + n, end_id, width)
-            out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(first))] = ids
-            doc = column(rows, "doc_id")
-            key = np.asarray(doc.fill_null(NULL_ID))
-            at = ((first + np.arange(n + 1)) * width.itemsize).astype(np.int64)
-            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at), pa.py_buffer(out)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, key, "left").astype(np.int32)), doc, blobs], ["bucket", "doc_id", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "bucket int, doc_id long, ids binary")
-
-
 def write_records(docs: DataFrame, out_dir: str | None = None, tokenizer: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes all documents in ascending doc_id order; returns the folder (files, indexes, manifest)."""
     spark = docs.sparkSession
     path, out_dir = tokenizer or default_path(), out_dir or shared_dir(spark, "records")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(docs, text_col) // file_bytes))
-    cuts = docs.select(F.col(id_col).cast("long").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = sorted({int(x) for x in cuts})
     store, folder = file_system(out_dir)
     store.create_dir(folder, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc = encoder(path)
-        width = 2 if enc.tok.get_vocab_size() <= 1 << 16 else 4
+        from pyspark import TaskContext
+
+        enc, bucket = encoder(path), TaskContext.get().partitionId()
+        width = np.dtype("<u2") if enc.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         fs, root = file_system(out_dir)
-        done, out, index, at, bucket, seq, ids = [], None, [], 0, None, 0, 0
+        done, out, index, at, seq, ids = [], None, [], 0, 0, 0
 
         def close() -> None:
             nonlocal out, index, at, seq, ids
@@ -170,39 +151,37 @@ def write_records(docs: DataFrame, out_dir: str | None = None, tokenizer: str |
             done.append((bucket, seq, name, len(entries), ids))
             out, index, at, ids, seq = None, [], 0, 0, seq + 1
 
-        for batch in batches:
-            b = np.asarray(column(batch, "bucket"))
-            for lo, hi in _runs(b):
-                part = batch.slice(lo, hi - lo)
-                for rows, data, off in slices([part], "ids"):
-                    if out is not None and (b[lo] != bucket or at >= file_bytes):
-                        close()
-                    if b[lo] != bucket:
-                        bucket, seq = int(b[lo]), 0
-                    if out is None:
-                        name = f"records-{bucket:08d}-{seq:05d}-{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(f"{root}/{name}.bin")
-                    framed, where = frame(data, off)
-                    out.write(framed.tobytes())
-                    e = np.empty(len(off) - 1, INDEX)
-                    e["doc_id"], e["offset"], e["n_ids"] = np.asarray(column(rows, "doc_id").fill_null(NULL_ID)), where[:-1] + at, np.diff(off) // width
-                    index.append(e)
-                    at, ids = at + int(where[-1]), ids + int(off[-1]) // width
+        for rows, data, off in slices(batches):
+            if out is not None and at >= file_bytes:
+                close()
+            if out is None:
+                name = f"records-{bucket:08d}-{seq:05d}-{uuid.uuid4().hex}"
+                out = fs.open_output_stream(f"{root}/{name}.bin")
+            got, first = enc(data, off)
+            m = len(off) - 1
+            ended = np.full(len(got) + m, end_id, width)
+            ended[np.arange(len(got)) + np.repeat(np.arange(m), np.diff(first))] = got
+            size = np.diff(first) + 1
+            framed, where = frame(ended.view(np.uint8), np.concatenate([[0], np.cumsum(size)]) * width.itemsize)
+            out.write(framed.tobytes())
+            doc = column(rows, "doc_id")
+            e = np.empty(m, INDEX)
+            e["doc_id"], e["no_id"] = np.asarray(doc.fill_null(0)), np.asarray(doc.is_null())
+            e["offset"], e["n_ids"] = where[:-1] + at, size
+            index.append(e)
+            at, ids = at + int(where[-1]), ids + len(ended)
         if out is not None:
             close()
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["bucket", "seq", "name", "n_records", "n_ids"])
 
-    dealt = encode(docs, path, end_id, id_col, text_col, bounds).repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = given.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     dealt.mapInArrow(write, "bucket int, seq int, name string, n_records long, n_ids long").write.mode("overwrite").parquet(f"{out_dir}/manifest")
     return out_dir
 
 
-def _runs(x: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(x)) + 1
-    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(x)], strict=True)) if len(x) else []
-
-
 def read_records(spark: SparkSession, out_dir: str, tokenizer: str | None = None, seed: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row a record, from the files alone, every checksum verified: doc_id, start, n_tokens, ids_crc32 (and ids).
 
@@ -211,7 +190,7 @@ def read_records(spark: SparkSession, out_dir: str, tokenizer: str | None = None
     path = tokenizer or default_path()
     files = spark.read.parquet(f"{out_dir}/manifest")
     before = Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.groupBy("bucket").agg(F.sum("n_ids").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = running(files.groupBy("bucket").agg(F.sum("n_ids").alias("all")), [], "bucket", "all", "base")
     placed = files.join(base.select("bucket", "base"), "bucket").withColumn("start", F.col("base") + F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +221,7 @@ def read_records(spark: SparkSession, out_dir: str, tokenizer: str | None = None
                         ids = payload.view(width).astype("<u4")
                         cut = off // width.itemsize
                         crc = [zlib.crc32(ids[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                        key = index["doc_id"][take]
-                        out = [pa.array(key, pa.int64(), mask=key == NULL_ID), pa.array(start[take]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())]
+                        out = [pa.array(index["doc_id"][take], pa.int64(), mask=index["no_id"][take]), pa.array(start[take]), pa.array(np.diff(cut)), pa.array(crc, pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if with_ids:
                             out.append(pa.array([ids[x:y].astype(np.int32) for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32())))

@@ -219,3 +219,51 @@ def secrets(docs):
         n = Counter(k for _, k, _ in spans)
         out.append((i, n[0], n[1], n[2], hashlib.sha256(said.encode()).hexdigest()))
     return sorted(out)
+
+
+def log_weights(docs, labels):
+    """Log weight of every doc_id (of distinct ones), and the ratio of every bucket, by plain counting."""
+    import xxhash
+
+    from graphloom.llm import _text, quality
+
+    whole = (1 << 64) - 1
+    base, code = int(_text.BASE), [int(x) for x in _text.BYTE_CODE]
+
+    def buckets(text):
+        data = (text or "").encode()
+        for p in range(len(data) - quality.GRAM + 1):
+            h = sum(code[b] * pow(base, j, 1 << 64) for j, b in enumerate(data[p : p + quality.GRAM])) & whole
+            h = ((h ^ (h >> 33)) * 0xFF51AFD7ED558CCD) & whole
+            h = ((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & whole
+            yield ((h ^ (h >> 33)) >> 20) % quality.BUCKETS
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def part(i):
+        first = xxhash.xxh64_intdigest((5).to_bytes(4, "little"), 42)
+        return signed(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), first)) % 4
+
+    target_ids = {i for i, q, t in labels if q == 1 and t == 0 and part(i) > 1}
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        for b in buckets(t):
+            raw[b] += 1
+            target[b] += i in target_ids
+    r, t = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for b, n in raw.items():
+        r[b], t[b] = n, target[b]
+    ratio = np.log((t + quality.PRIOR) / (r * (t.sum() / max(1.0, r.sum())) + quality.PRIOR))
+    return {i: sum(ratio[b] for b in buckets(t)) for i, t in docs}, ratio
+
+
+def gumbel(ids, seed=11):
+    import xxhash
+
+    first = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    out = []
+    for i in ids:
+        h = first if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), first)
+        out.append(-np.log(-np.log(((h & ((1 << 52) - 1)) + 0.5) / (1 << 52))))
+    return out

@@ -225,12 +225,70 @@ def test_op8_secrets(given, odd_df, odd, empty_df):
     assert secrets.scan(empty_df).count() == 0
 
 
-def test_op8_network_on_held_out_findings():
-    net = secrets.trained()
-    x, y, _ = secrets.findings(1500, 77)
-    hit = net.scores(x) >= net.cut
-    assert hit[y > 0].mean() >= 0.96
-    assert hit[y == 0].mean() <= 0.1
+def test_op8_network_on_held_out_findings(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    net, told = secrets.trained(docs)
+    assert told["made_found"] >= 0.96 * told["made_secrets"] and told["made_false"] <= 0.02 * told["made_others"]
+    assert told["texts_false"] <= 0.02 * told["texts_others"]
+
+
+def test_op8_scores_every_candidate_and_leaves_prose_alone(spark):
+    key = "sk-aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    texts = ["the key " + key + " is set", "auth " + "Zx9" * 20 + " end", "supercalifragilistic expialidocious word", "token: abcdefABCDEF1234"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].spans == f"model:8:{8 + len(key)}" and out[1].spans == "model:5:65"
+    assert out[2].spans == "" and out[3].spans == "assign:0:23" and out[3].n_model == 0
+
+
+def test_op2_ids_and_marks(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  <|endoftext|>  z", "<|endof", "text|>", "don't<|endoftext|>'s"]
+    rows = [(None, "null id"), (-(1 << 63), "least"), ((1 << 63) - 1, "most"), (5, "same"), (5, "same"), (5, "other"), (None, None), *enumerate(texts, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = token_output.read_records(spark, token_output.write_records(df), with_ids=True).collect()
+    path = default_path()
+    want = sorted((i is not None, i or 0, ids) for i, ids in brute.encoded(rows, path))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in out) == want
+    order = sorted(out, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == [r[0] for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [r.start for r in order] == [sum(x.n_tokens for x in order[:k]) for k in range(len(order))]
+    assert [r.ids_crc32 for r in order] == [brute.crc(list(r.ids)) for r in order]
+    pieces = got(packing.pack(df.filter("doc_id is not null")), "doc_id", "piece", "start", "length", "ids_crc32")
+    assert pieces == brute.pieces([r for r in rows if r[0] is not None], path)
+
+
+def test_op4_null_items_mark_words_without_a_name(spark):
+    docs = spark.createDataFrame([(None, "one two three"), (2, "two"), (2, "two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two three"), (7, "two")], "item_id long, text string")
+    rows = decontaminate.report(decontaminate.find(docs, items)).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, r.n_items) for r in rows) == [(0, 2, 1), (2, 1, 1), (2, 1, 1)]
+
+
+def test_op9_against_plain_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()] + [(None, "null id"), (999_999, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in rows if i is not None], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    weights, ratio = brute.log_weights(rows, [tuple(r) for r in labels.collect()])
+    assert np.allclose(model["ratio"], ratio)
+    out = quality.resample(quality.judged(df, model), 25).collect()
+    noise = brute.gumbel([r.doc_id for r in out])
+    for r, g in zip(out, noise, strict=True):
+        assert math.isclose(r.log_weight, weights[r.doc_id], rel_tol=1e-9, abs_tol=1e-7)
+        assert math.isclose(r.gumbel, r.log_weight + g, rel_tol=1e-9, abs_tol=1e-9)
+    order = sorted(out, key=lambda r: (-r.gumbel, r.doc_id is None, r.doc_id or 0))
+    assert {(r.doc_id, r.gumbel) for r in out if r.sampled} == {(r.doc_id, r.gumbel) for r in order[:25]} and sum(r.sampled for r in out) == 25
+
+
+def test_op9_takes_exactly_k_among_ties(spark):
+    rows = [(i % 5, "same text", float(i % 2)) for i in range(50)]
+    scores = spark.createDataFrame(rows, "doc_id long, text string, log_weight double")
+    for k in (0, 1, 7, 23, 49, 50, 60):
+        out = quality.resample(scores, k).collect()
+        assert len(out) == 50 and sum(r.sampled for r in out) == min(k, 50)
+        if 0 < k < 50:
+            assert min(r.gumbel for r in out if r.sampled) >= max(r.gumbel for r in out if not r.sampled)
 
 
 def test_op9_importance_resampling(spark, given, odd_df, empty_df):
