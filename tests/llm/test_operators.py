@@ -234,10 +234,11 @@ def test_op8_network_on_held_out_findings(spark):
 
 def test_op8_scores_every_candidate_and_leaves_prose_alone(spark):
     key = "sk-aB3dE5fG7hJ9kL1mN3pQ5rS7"
-    texts = ["the key " + key + " is set", "auth " + "Zx9" * 20 + " end", "supercalifragilistic expialidocious word", "token: abcdefABCDEF1234"]
+    long_key = "q7Rk2LmX9vTz4BnC8wYp3HsD6fGjK1aE5uQoZxN0iVbMlWcJtRySdFhPgUeAk"
+    texts = ["the key " + key + " is set", "auth " + long_key + " end", "supercalifragilistic expialidocious word", "token: abcdefABCDEF1234"]
     rows = [(i, t) for i, t in enumerate(texts)]
     out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[0].spans == f"model:8:{8 + len(key)}" and out[1].spans == "model:5:65"
+    assert out[0].spans == f"model:8:{8 + len(key)}" and out[1].spans == f"model:5:{5 + len(long_key)}"
     assert out[2].spans == "" and out[3].spans == "assign:0:23" and out[3].n_model == 0
 
 
