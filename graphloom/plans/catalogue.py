@@ -293,6 +293,23 @@ def q_commit_message(s, sf):
     return t(s, sf, "conversations").select("conv_id", "turn", au.commit_message(F.col("text")).alias("score"))
 
 
+_START = spec.FUNCTION_START.replace("'", "''")
+
+
+@query(
+    f"""WITH src AS (SELECT doc_id, regexp_replace(text, chr(10) || '$', '') AS text FROM documents), {_BOILER},
+u AS ({ORACLE["q_uniform_style"].replace("documents", "src")}), m AS ({ORACLE["q_missing_edge_cases"].replace("documents", "src")}), k AS ({ORACLE["q_comment_density"].replace("documents", "src")}),
+d AS (SELECT doc_id, '+' || replace(text, chr(10), chr(10) || '+') AS t, len(string_split(text, chr(10))) AS n FROM src),
+g AS (SELECT doc_id, n, len(regexp_extract_all(t, '{_START}', 0, 'm')) AS f, len(string_split(trim(t, {_WS}), chr(10))) AS r FROM d),
+p AS (SELECT doc_id, n, CASE WHEN n >= 50 THEN least(1.0, n / 100 * n / 10) WHEN n >= 20 THEN 0.4 ELSE 0 END AS bulk, CASE WHEN f = 0 OR r < 10 THEN 0 WHEN f / (r / 100) >= 3 THEN 0.8 WHEN f / (r / 100) >= 2 THEN 0.5 WHEN f / (r / 100) >= 1 THEN 0.3 ELSE 0 END AS whole FROM g),
+c AS (SELECT p.doc_id, n, (0.2 * bulk + 0.15 * boiler.score + 0.1 * u.score + 0.15 * whole + 0.15 * m.score + 0.1 * k.score) / 0.85 AS x FROM p JOIN boiler USING (doc_id) JOIN u USING (doc_id) JOIN m USING (doc_id) JOIN k USING (doc_id))
+SELECT doc_id, n::INT AS lines_added, 0::INT AS lines_removed, round(least(1, x), 6)::DOUBLE AS confidence, x >= 0.5 AS likely_ai FROM c"""
+)
+def q_ai_confidence(s, sf):
+    d = t(s, sf, "documents").select("doc_id", au.pseudo_diff(F.col("text")).alias("diff"))
+    return au.analyze(d).select("doc_id", "lines_added", "lines_removed", F.round("confidence", 6).alias("confidence"), "likely_ai")
+
+
 @query("SELECT sum(CASE WHEN n_chars >= 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN n_chars >= 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN n_chars < 2000 AND quality = 1 THEN 1 ELSE 0 END)::BIGINT AS fn, sum(CASE WHEN n_chars < 2000 AND quality <> 1 THEN 1 ELSE 0 END)::BIGINT AS tn FROM documents JOIN labels USING (doc_id)")
 def q_threshold_classifier(s, sf):
     d = t(s, sf, "documents").select("doc_id", "n_chars").join(t(s, sf, "labels"), "doc_id")
