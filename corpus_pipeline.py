@@ -8,6 +8,11 @@ sees exactly what its predecessor kept.
 * near documents: of each group of near copies the smallest doc_id stays.
 * decontamination: documents that hold a window of a benchmark item go.
 * packing: the rest becomes sequences.
+
+Defined cases: a null or empty text is no line, near copy or benchmark passage, passes every stage and is packed as its end
+id; texts of any length are read whole; ties go to the smaller doc_id; rows that share a doc_id are told apart by their
+texts, and rows that repeat are one document after the near stage; a null doc_id is the largest; other columns pass through
+whatever their names; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, line_dedup, minhash, packing, quality
-from graphloom.llm._text import shared_dir
+from graphloom.llm._text import shared_dir, stored
 
 
 def slim(docs: DataFrame) -> DataFrame:
@@ -42,8 +47,21 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.dedup(docs, k=5).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Where doc_ids name rows, they tell them apart. Else (repeated or null ones) each distinct row gets a number in the
+    order of its doc_id, and rows that repeat are one document."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        gone = minhash.dedup(docs, k=5).filter("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.xxhash64("doc_id", "text"), F.md5(F.coalesce("text", F.lit("")))
+    keyed = slim(docs).withColumns({"_one": row[0], "_two": row[1], "_null": F.col("text").isNull()})
+    names = keyed.select("doc_id", "_one", "_two", "_null").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_one", "_two", "_null")
+    numbered = stored(names.withColumn("_uid", F.monotonically_increasing_id()), "row-numbers")
+    same = (keyed.doc_id.eqNullSafe(numbered.doc_id)) & (keyed["_one"] == numbered["_one"]) & (keyed["_two"] == numbered["_two"]) & (keyed["_null"] == numbered["_null"])
+    rows = keyed.join(numbered, same).select(keyed.doc_id, "text", "_rest", "_uid").dropDuplicates(["_uid"])
+    rows = stored(rows, "rows")
+    gone = minhash.dedup(rows, k=5, id_col="_uid").filter("not kept").select(F.col("doc_id").alias("_uid"))
+    return unslim(rows.join(gone, "_uid", "left_anti"), docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
