@@ -49,7 +49,17 @@ def test_odd_rows(spark):
     for _, stage in cp.STAGES[:-1]:
         docs = stored(stage(spark, docs, f"{DATA}/sf0.001"), "test-odd")
         assert docs.columns == ["doc_id", "text", "spans", "kept"]
-    assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0  # the repeated row is one document by now
     none = stored(docs.limit(0), "none")
     for _, stage in cp.STAGES:
         assert stage(spark, none, f"{DATA}/sf0.001").count() == 0
+
+
+def test_near_rows_that_share_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, words), (2, words), (2, other), (3, other + " more"), (None, words), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_uid", F.lit("mine"))
+    out = stored(cp.near_filter(spark, docs, SF), "near-shared")
+    assert out.columns == ["doc_id", "text", "_uid"]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, words), (2, other), (4, None), (5, "")], key=str)
