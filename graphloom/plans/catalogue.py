@@ -424,7 +424,7 @@ def part_truth(s, sf):
     return t(s, sf, "part").filter("p_partkey <= 60").select((p - 1).alias("ord"), p.cast("string").alias("id"), F.concat(F.lit("lib/f"), p % 2, F.lit(".PY")).alias("file"), ((p * 7) % 500).alias("line_start"), ((p * 7) % 500 + F.col("p_size") % 5).alias("line_end"), F.array(kind).alias("accepted"), kind.alias("category"), F.lit(False).alias("provisional"))
 
 
-@query(f"WITH {_PAIRS}, g AS (SELECT run, list_sort(list({{'dist': dist, 'f': f, 't': t}})) AS l FROM c WHERE agree GROUP BY run), m AS (SELECT run, list_reduce(list_prepend([{{'dist': -1::BIGINT, 'f': -1::BIGINT, 't': -1::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.f = x[1].f OR k.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM g) SELECT run, len(m) - 1 AS matched, (SELECT sum(x.dist) FROM unnest(m) AS u(x)) + 1 AS distance FROM m")
+@query(f"WITH {_PAIRS}, g AS (SELECT run, list_sort(list({{'dist': dist, 'f': f, 't': t}})) AS l FROM c WHERE agree GROUP BY run), m AS (SELECT run, list_reduce(list_prepend([{{'dist': -1::BIGINT, 'f': -9::BIGINT, 't': -9::BIGINT}}], list_transform(l, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.f = x[1].f OR k.t = x[1].t)) > 0 THEN acc ELSE list_concat(acc, x) END) AS m FROM g) SELECT run, len(m) - 1 AS matched, (SELECT sum(x.dist) FROM unnest(m) AS u(x)) + 1 AS distance FROM m")
 def q_match_greedy(s, sf):
     matched, _ = evaluate.match(event_findings(s, sf), part_truth(s, sf))
     return matched.groupBy("run").agg(F.count("*").alias("matched"), F.sum("dist").alias("distance"))
