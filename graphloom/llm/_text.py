@@ -158,8 +158,13 @@ def stored(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
-def dropped(df_or_path) -> None:
-    """Removes a table made by ``stored`` once nothing needs it."""
+def dropped(*frames) -> None:
+    """Removes the folders of tables made by ``stored`` once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def total_bytes(docs, column: str = "text") -> int:
