@@ -13,7 +13,8 @@ SKIP_DIRS = [
     ".pytest_cache", ".ruff_cache", "egg-info",
 ]
 MAX_FILES = 5000
-EMPTY_TREE = "4b825dc642cb6eb9a060e54bf899d69f82cf10b8"
+#: Git's own; the reference's constant ends otherwise, names no object, and fails on a first commit.
+EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 LOC_SUFFIXES = [".py", ".js", ".ts", ".tsx"]
 SOURCE_SUFFIXES = [".py", ".js", ".ts", ".tsx", ".jsx"]
 
