@@ -1,7 +1,7 @@
 """Registered queries on source code, diffs, reports and runs, over the made project of ``fixture``.
 
 The supplied tables hold no code, so these queries read texts written for them; what they must give is stated row by row
-in ``expected``, worked out from the specification.
+in ``expected``, checked against the specification.
 """
 
 from __future__ import annotations
@@ -76,6 +76,12 @@ def q_git_diff(s):
     return git.read_diff(s, fixture.repository(s)).filter("raw not like 'index %'").select("file", "raw", F.shiftright("pos", 32).alias("part"))
 
 
+@query
+def q_git_changed(s):
+    sources.register(s)
+    return git.changed_files(git.read_diff(s, fixture.repository(s)))
+
+
 @query
 def q_git_worktree(s):
     """Staged, unstaged and new files."""
@@ -401,6 +407,12 @@ def q_keep_relevant(s):
     return traverse.keep_relevant(the_graph(s)[0], ["store.py", "web/"]).select("id")
 
 
+@query
+def q_prune(s):
+    top = s.createDataFrame([("store.py",), ("web/typed",)], "path string")
+    return rank.prune(the_graph(s)[0], top).select("id")
+
+
 @query
 def q_combined(s):
     n, e = the_graph(s)
@@ -626,6 +638,14 @@ def q_scan_subgraph(s):
     return scan_rows(s, "subgraph").filter("part = 1")
 
 
+@query
+def q_scan_report(s):
+    """A whole report as one text, read again as findings."""
+    report = scan.as_run(scan.chunked(after(s), ["app/routes.py"], None, "off"))
+    f = evaluate.parse_findings(report.withColumn("run", F.lit("r")))
+    return f.groupBy("severity", "category").agg(F.count("*").alias("n"))
+
+
 @query
 def q_context_parts(s):
     files = s.createDataFrame([("long.py", "\n".join(f"l{i}" for i in range(6))), ("short.py", "x\ny")], "rel string, source string")

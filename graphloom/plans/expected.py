@@ -1,4 +1,4 @@
-"""What the queries of ``code_queries`` have to give, row by row, as the specification has it for the made project.
+"""What the queries of ``code_queries`` have to give for the made project, row by row, checked against the specification.
 
 Columns with their SQL types, then rows; texts that are long stand as their MD5.
 """
@@ -961,6 +961,32 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             (3, 7, 3, 3, 'auth-update,md5,pickle'),
         ],
     ),
+    "q_git_changed": (
+        "file VARCHAR",
+        [
+            ('app/gates.py',),
+            ('app/routes.py',),
+        ],
+    ),
+    "q_prune": (
+        "id VARCHAR",
+        [
+            ('file:app/store.py',),
+            ('file:web/typed.ts',),
+            ('func:app/store.py::connect',),
+            ('func:app/store.py::fingerprint',),
+            ('func:app/store.py::run_query',),
+            ('func:web/typed.ts::parse',),
+            ('func:web/typed.ts::pick',),
+        ],
+    ),
+    "q_scan_report": (
+        "severity VARCHAR, category VARCHAR, n BIGINT",
+        [
+            ('CRITICAL', 'SQLi', 3),
+            ('HIGH', 'Auth Bypass', 4),
+        ],
+    ),
 }
 
 
