@@ -6,9 +6,10 @@ Of each class the KEYS smallest values are retained as entries of inverted lists
 * Lists of at most LIST entries yield the pairs that overlap in them; the Jaccard estimate from the sketch of the union
   (the smallest values of both) drops pairs far below the threshold.
 * Longer lists never yield their pairs. A class with at least half of its retained values in short lists is found
-  through those. The others meet, in each long list, a few leaders; and once the links so far are known, every class
-  that is not in its list's largest component is compared, in blocks, with all members of the list: exact intersection
-  sizes, of which only links between different components leave the task.
+  through those. The others meet, in each long list, a few leaders, of which all but one differ from list to list; and
+  once the links so far are known, every class that is not in its list's largest component is compared, in blocks, with
+  all members of the list. What travels to the blocks is a bit for each place that an odd number of a set's values falls
+  on: two sets differ in at least as many values as these bits do, so no link is lost, and few other pairs are left.
 
 Every link is confirmed on full sets. Links within a component that is connected already are not checked again: first
 each class checks its best pair, and after contraction the remaining pairs between different components. Two sets of
@@ -40,7 +41,8 @@ THRESHOLD = 0.8
 KEYS, SKETCH, LIST = 16, 32, 32
 LEAST_ESTIMATE = 0.5
 LEADERS = 3
-BLOCK = 128
+SALTS = 16
+BLOCK = 1024
 BROADCAST_ROWS = 4 << 20
 IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -115,10 +117,12 @@ def list_pairs(postings: DataFrame) -> DataFrame:
 
 def leader_pairs(hot: DataFrame) -> DataFrame:
     """(a, b, est): every member of a long list with a few leaders of it."""
-    order = [F.col("rep"), F.xxhash64(F.lit(1), "rep"), F.xxhash64(F.lit(2), "rep")][:LEADERS]
+    order = [F.col("rep"), *(F.xxhash64(F.lit(i), "v", "rep") for i in range(1, LEADERS))]
     tops = hot.groupBy("v").agg(*(F.min(F.struct(o.alias("o"), "rep", "n", "sketch")).alias(f"l{i}") for i, o in enumerate(order)))
     tops = tops.select("v", F.explode(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in ("rep", "n", "sketch"))) for i in range(len(order))))).alias("l"))
-    met = hot.join(tops, "v").filter("rep != l.rep").filter(F.least("n", "l.n") >= THRESHOLD * F.greatest("n", "l.n"))
+    # A list is dealt over several tasks.
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(tops, ["v", "salt"]).filter("rep != l.rep").filter(F.least("n", "l.n") >= THRESHOLD * F.greatest("n", "l.n"))
     met = met.select("rep", "n", "sketch", F.col("l.rep").alias("r2"), F.col("l.n").alias("n2"), F.col("l.sketch").alias("s2"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,49 +173,89 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "b long, a long" if met.columns[0] == "b" else "a long, b long")
 
 
+def parity(values: np.ndarray) -> bytes:
+    """A bit for each of 2 to 4 times as many places as values: whether an odd number of them falls there."""
+    places = 64
+    while places < 2 * len(values):
+        places *= 2
+    odd = np.bincount((values & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, bits) of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in slices(batches):
+            v, at = shingles(data, off, k)
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array([parity(v[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["id", "bits"])
+
+    return stored(only(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "id long, bits binary"), "parities")
+
+
+def folded(bits: np.ndarray, places: int) -> np.ndarray:
+    """Rows of bits (as 64-bit words) over fewer places."""
+    while bits.shape[1] * 64 > places:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def maybe_linked(rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
+    """(a, b, ca, cb, diff): the pairs of different components whose bits do not rule out a link. Linked sets of n and m
+    values differ in (n + m) / 9 values at most."""
+    out = []
+    of = lambda x: np.frombuffer(b"".join(x), "<u8").reshape(len(x), -1)
+    for (_, mine), (_, theirs) in ((x, y) for x in rows.groupby(rows.bits.map(len)) for y in cols.groupby(cols.bits.map(len)) if x[0] <= 2 * y[0] and y[0] <= 2 * x[0]):
+        x, y = of(mine.bits), of(theirs.bits)
+        places = 64 * min(x.shape[1], y.shape[1])
+        x, y = folded(x, places), folded(y, places)
+        m, comp, ids = theirs.n.to_numpy(), theirs.component.to_numpy(), theirs.rep.to_numpy()
+        for rep, n, component, bits in zip(mine.rep.tolist(), mine.n.tolist(), mine.component.tolist(), x, strict=True):
+            diff = np.bitwise_count(y ^ bits).sum(1, dtype=np.int64)
+            hit = np.flatnonzero((9 * diff <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (comp != component))
+            if len(hit):
+                out.append(pd.DataFrame({"a": rep, "b": ids[hit], "ca": component, "cb": comp[hit], "diff": diff[hit]}))
+    return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "ca", "cb", "diff"]).astype("int64")
+
+
 def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
-    """Links between classes outside their long list's largest component and any member of the list."""
+    """Links between classes outside their long list's largest component and any member of the list; between components
+    that links join already, not all."""
     tagged = stored(hot.select("v", "rep", "n").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "tagged")
     sizes = tagged.groupBy("v", "component").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     split = tagged.join(sizes.select("v", F.col("top.component").alias("main")), "v")
-    minor = stored(split.filter(F.col("component") != F.col("main")).select("v", "rep", "component"), "minor")
+    minor = stored(split.filter(F.col("component") != F.col("main")).drop("main"), "minor")
     if minor.isEmpty():
         return None
     lists = minor.select("v").distinct()
-    cols = stored(tagged.join(lists, "v", "left_semi").select("v", "rep", "component"), "columns")
-    sets = full_sets(docs, cols.select(F.col("rep").alias("id")).distinct(), k)
+    cols = stored(tagged.join(lists, "v", "left_semi"), "columns")
+    bits = parities(docs, cols.select(F.col("rep").alias("id")), k).withColumnRenamed("id", "rep")
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
 
     per = stored(parts(minor, "rn").join(parts(cols, "cn"), "v"), "blocks")
     per = F.broadcast(per) if per.count() <= BROADCAST_ROWS // 8 else per
-    block = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = minor.join(per, "v").join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("v", block("rep", "rn").alias("rb"), every("cn").alias("cb"), "rep", "component", "set")
-    right = cols.join(per, "v").join(sets.select(F.col("id").alias("rep"), "set"), "rep").select("v", every("rn").alias("rb"), block("rep", "cn").alias("cb"), F.col("rep").alias("crep"), F.col("component").alias("ccomponent"), F.col("set").alias("cset"))
-
-    def run(rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(cols):
-            values = [np.frombuffer(c, np.uint64) for c in cols.cset]
-            sizes = np.array([len(x) for x in values])
-            every, owner = np.concatenate(values), np.repeat(np.arange(len(values)), sizes)
-            order = np.argsort(every, kind="stable")
-            every, owner = every[order], owner[order]
-            comp, ids = cols.ccomponent.to_numpy(), cols.crep.tolist()
-            for rep, component, s in zip(rows.rep.tolist(), rows.component.tolist(), rows["set"], strict=True):
-                s = np.frombuffer(s, np.uint64)
-                lo = np.searchsorted(every, s, "left")
-                n = np.searchsorted(every, s, "right") - lo
-                at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
-                both = np.bincount(owner[at], minlength=len(values))
-                hit = np.flatnonzero((100 * both >= 80 * (sizes + len(s) - both)) & (comp != component))
-                _, one = np.unique(comp[hit], return_index=True)  # one link joins a component; the rest are joined
-                out += [(rep, ids[j]) for j in hit[one].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return left.groupBy("v", "rb", "cb").cogroup(right.groupBy("v", "rb", "cb")).applyInPandas(run, "a long, b long")
+    shown = [F.col(c).alias(c) for c in ("rep", "n", "component", "bits")]
+    left = minor.join(per, "v").join(bits, "rep").select(F.col("v").alias("v"), block("rn").alias("rb"), every("cn").alias("cb"), *shown)
+    right = cols.join(per, "v").join(bits, "rep").select(F.col("v").alias("v"), every("rn").alias("rb"), block("cn").alias("cb"), *shown)
+    found = left.groupBy("v", "rb", "cb").cogroup(right.groupBy("v", "rb", "cb")).applyInPandas(maybe_linked, "a long, b long, ca long, cb long, diff long")
+    found = stored(found.distinct(), "candidates")
+    if found.isEmpty():
+        return None
+    # First the nearest pair of each class and each component, then what is between components that are still apart.
+    sets = full_sets(docs, found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
+    first = stored(found.groupBy("a", "ca", "cb").agg(F.min(F.struct("diff", "b")).alias("m")).select("a", F.col("m.b").alias("b"), "ca", "cb"), "nearest")
+    one = stored(verify(first, sets).select("a", "b"), "links")
+    joined = components(one.join(first, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    mine, theirs = (joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")) for c in ("ca", "cb"))
+    rest = found.join(first.select("a", "b"), ["a", "b"], "left_anti").join(mine, "ca", "left").join(theirs, "cb", "left")
+    rest = stored(rest.filter(F.coalesce("ca_root", "ca") != F.coalesce("cb_root", "cb")).select("a", "b"), "rest")
+    two = stored(verify(rest, only(sets, rest.select(F.explode(F.array("a", "b")).alias("id")), "id")).select("a", "b"), "links")
+    return one.unionByName(two)
 
 
 def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +291,7 @@ def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
     if hot is not None:
         last = minor_links(hot, label, docs, k)
         if last is not None:
-            edges = edges.unionByName(stored(last, "links"))
+            edges = edges.unionByName(last)
             label = components(edges)
     classes = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sig.join(classes, ["s1", "s2", "n"], "left")
