@@ -69,30 +69,36 @@ def induce(t: np.ndarray, larger: np.ndarray, lms: np.ndarray, sigma: int) -> np
 
 
 def doubled(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names, by doubling."""
-    n, rank, k = len(names), names.astype(np.int64), 1
+    """The order of the suffixes of a string of names, by doubling. Only suffixes whose place is open are sorted again; a
+    rank is the place of the first suffix that may still be equal."""
+    n, k = len(names), 1
+    order, live, rank = np.arange(n), np.arange(n), np.empty(n, np.int64)
+    key = names.astype(np.int64)
     while True:
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1
-        key = rank * (int(second.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank, k = new, 2 * k
-        if rank.max() == n - 1 or k >= n:
+        by = np.argsort(key, kind="stable")
+        order[live], key = order[live][by], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[live]] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
+        live = live[~(new & np.append(new[1:], True))]
+        if not len(live) or k >= n:
             return order
+        at = order[live]
+        key = rank[at] * (n + 1) + np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        k *= 2
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array of t (values from 0 to sigma - 1)."""
-    t, sigma = np.append(t.astype(np.int32) + 1, 0), sigma + 1
+    # Small values are kept in 16 bits, which numpy sorts by digits.
+    small = np.int16 if sigma < 1 << 14 else np.int32
+    t, sigma = np.append(t.astype(small) + small(1), small(0)), sigma + 1
     n = len(t)
     if n == 1:
         return np.zeros(0, np.int64)
     # larger[i]: suffix i > suffix i + 1. Runs of one character have the class of what follows them.
     step = np.sign(np.diff(t))
     change = np.flatnonzero(step)
-    nxt = np.searchsorted(change, np.arange(n - 1))
+    nxt = np.cumsum(step != 0) - (step != 0)
     larger = np.ones(n, bool)
     has = nxt < len(change)
     larger[:-1][has] = step[change[nxt[has]]] < 0

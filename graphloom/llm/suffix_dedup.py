@@ -200,16 +200,16 @@ def dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR, id_col: str =
         for row in rows_of(batches):
             ids, runs = unpacked(row, span, anchor)
             u, multi, begin, _ = sorted_anchors(runs, shards)
-            full = np.flatnonzero(np.diff(begin))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array([six(u[begin[s] : begin[s + 1]]) for s in full], pa.binary()), pa.array([np.packbits(multi[begin[s] : begin[s + 1]]).tobytes() for s in full], pa.binary())], ["shard", "block", "anchors", "multi"])
+            full, said = np.flatnonzero(np.diff(begin)), six(u)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array([said[6 * begin[s] : 6 * begin[s + 1]] for s in full], pa.binary()), pa.array([np.packbits(multi[begin[s] : begin[s + 1]]).tobytes() for s in full], pa.binary())], ["shard", "block", "anchors", "multi"])
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unsix(x) for x in pdf.anchors]
-        u, inv, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        own = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)) for m, p in zip(pdf.multi, parts, strict=True)]).astype(bool)
+        size = [len(x) // 6 for x in pdf.anchors]
+        u, inv, n = np.unique(unsix(b"".join(pdf.anchors)), return_inverse=True, return_counts=True)
+        own = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=p) for m, p in zip(pdf.multi, size, strict=True)]).astype(bool)
         any_multi = np.zeros(len(u), bool)
         any_multi[inv[own]] = True
-        bits = np.split(((n > 1) | any_multi)[inv], np.cumsum([len(p) for p in parts])[:-1])
+        bits = np.split(((n > 1) | any_multi)[inv], np.cumsum(size)[:-1])
         out = pd.DataFrame({"block": pdf.block.to_numpy(), "shard": pdf.shard.to_numpy(), "bits": [np.packbits(b).tobytes() for b in bits]})
         return out[[b.any() for b in bits]]
 
