@@ -39,8 +39,15 @@ HALF_WORDS = 12
 CHUNK = 8
 
 
+def trimmed(line: Column) -> Column:
+    """Without white space at its ends. Few lines have any, and trimming by a list of signs costs several times as much as
+    a look at both ends."""
+    ends = F.substring(line, 1, 1).isin(*WHITE) | F.substring(line, -1, 1).isin(*WHITE)
+    return F.when(ends, F.trim(line, F.lit(WHITE))).otherwise(line)
+
+
 def form(line: Column) -> Column:
-    return F.lower(F.trim(line, F.lit(WHITE)))
+    return F.lower(trimmed(line))
 
 
 def split_words(form: Column) -> Column:
@@ -50,8 +57,8 @@ def split_words(form: Column) -> Column:
     return F.when(form.rlike(SOME_OTHER), F.split(form, f"[{OTHER}]+")).otherwise(plain)
 
 
-def candidate(trimmed: Column) -> Column:
-    return (F.length(trimmed) >= MIN_CHARS) | trimmed.rlike(LONG)
+def candidate(line: Column) -> Column:
+    return (F.length(line) >= MIN_CHARS) | line.rlike(LONG)
 
 
 def digest(c: Column) -> Column:
@@ -110,7 +117,7 @@ def variants(dele: bool) -> Column:
 def first_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each form of a candidate: its key, its first place, whether near lines are sought for it without halves,
     and, where a partner may have more words, the keys of its halves."""
-    lines = docs.select(F.col(id_col).alias("doc"), "_row", F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw")).withColumn("form", form("raw"))
+    lines = docs.select(F.col(id_col).alias("doc"), "_row", F.posexplode(F.split(text_col, "\n", -1)).alias("line", "raw")).withColumn("form", form(F.col("raw")))
     lines = lines.filter(candidate(F.col("form"))).withColumn("words", split_words(F.col("form")))
     place = F.struct(F.col("doc").isNull().alias("last"), F.col("doc"), F.col("_row"), F.col("line"))
     lines = lines.select(digest(F.col("form")).alias("key"), place.alias("place"), F.size("words").between(MIN_WORDS, HALF_WORDS - 1).alias("short"), F.when(F.size("words") >= HALF_WORDS - 1, halves(F.col("words"))).alias("halves"))
@@ -166,7 +173,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near:
         forms = forms.join(near_forms(slim, forms, "text"), "key", "left_anti")
     kept = forms.groupBy(F.col("place._row").alias("_their_row")).agg(F.sort_array(F.collect_set("place.line")).alias("_kept"))
     out = keyed.join(kept, F.col("_row") == F.col("_their_row"), "left").withColumn("_all", F.split("text", "\n", -1)).withColumn("_marks", marks(F.col("_kept"), F.size("_all")))
-    first = F.zip_with("_all", "_marks", lambda x, m: F.when((m == "1") | ~candidate(F.trim(x, F.lit(WHITE))), x))
+    first = F.zip_with("_all", "_marks", lambda x, m: F.when((m == "1") | ~candidate(trimmed(x)), x))
     out = out.withColumn("_stays", F.array_compact(first))
     left = F.array_join("_stays", "\n")
     n, m = (F.when(F.col("text").isNull(), 0).otherwise(F.size(c).cast("long")) for c in ("_all", "_stays"))
