@@ -6,10 +6,12 @@ Of each class the KEYS smallest values are retained as entries of inverted lists
 * Lists of at most LIST entries yield the pairs that overlap in them; the Jaccard estimate from the sketch of the union
   (the smallest values of both) drops pairs far below the threshold.
 * Longer lists never yield their pairs. A class with at least half of its retained values in short lists is found
-  through those. The others meet, in each long list, a few leaders, of which all but one differ from list to list; and
-  once the links so far are known, every class that is not in its list's largest component is compared, in blocks, with
-  all members of the list. What travels to the blocks is a bit for each place that an odd number of a set's values falls
-  on: two sets differ in at least as many values as these bits do, so no link is lost, and few other pairs are left.
+  through those. The others meet, in each long list, a few leaders, of which all but one differ from list to list, so
+  that these pairs grow with the members and not with their square; and once the links so far are known, every class that
+  is not in its list's largest component is compared, in blocks, with all members of the list. What travels to the blocks
+  is a bit for each place that an odd number of a set's values falls on: two sets differ in at least as many values as
+  these bits do, so no link is lost, and few other pairs are left. The same bits drop most of the leaders' pairs that are
+  no links before any full set is read.
 
 Every link is confirmed on full sets. Links within a component that is connected already are not checked again: first
 each class checks its best pair, and after contraction the remaining pairs between different components. Two sets of
@@ -183,14 +185,14 @@ def parity(values: np.ndarray) -> bytes:
 
 
 def parities(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, bits) of the documents named."""
+    """(id, size of the set, bits) of the documents named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in slices(batches):
             v, at = shingles(data, off, k)
-            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array([parity(v[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["id", "bits"])
+            yield pa.RecordBatch.from_arrays([column(rows, "doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array([parity(v[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], ["id", "n", "bits"])
 
-    return stored(only(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "id long, bits binary"), "parities")
+    return stored(only(docs, ids, "doc_id").select("doc_id", "text").mapInArrow(run, "id long, n long, bits binary"), "parities")
 
 
 def folded(bits: np.ndarray, places: int) -> np.ndarray:
@@ -201,6 +203,23 @@ def folded(bits: np.ndarray, places: int) -> np.ndarray:
     return bits
 
 
+def possible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b, est) whose bits do not rule out a link."""
+    x, y = (bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    met = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "est", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(column(batch, c) for c in ("n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8").reshape(1, -1) for v in (x, y))
+                places = 64 * min(x.shape[1], y.shape[1])
+                ok.append(9 * int(np.bitwise_count(folded(x, places) ^ folded(y, places)).sum(dtype=np.int64)) <= n.as_py() + m.as_py())
+            yield batch.select(["a", "b", "est"]).filter(pa.array(ok, pa.bool_()))
+
+    return met.mapInArrow(run, "a long, b long, est double")
+
+
 def maybe_linked(rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
     """(a, b, ca, cb, diff): the pairs of different components whose bits do not rule out a link. Linked sets of n and m
     values differ in (n + m) / 9 values at most."""
@@ -219,7 +238,7 @@ def maybe_linked(rows: pd.DataFrame, cols: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame(columns=["a", "b", "ca", "cb", "diff"]).astype("int64")
 
 
-def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int) -> DataFrame | None:
+def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int, bits: DataFrame | None = None) -> DataFrame | None:
     """Links between classes outside their long list's largest component and any member of the list; between components
     that links join already, not all."""
     tagged = stored(hot.select("v", "rep", "n").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "tagged")
@@ -230,7 +249,8 @@ def minor_links(hot: DataFrame, label: DataFrame, docs: DataFrame, k: int) -> Da
         return None
     lists = minor.select("v").distinct()
     cols = stored(tagged.join(lists, "v", "left_semi"), "columns")
-    bits = parities(docs, cols.select(F.col("rep").alias("id")), k).withColumnRenamed("id", "rep")
+    bits = bits if bits is not None else parities(docs, cols.select(F.col("rep").alias("id")), k)
+    bits = bits.select(F.col("id").alias("rep"), "bits")
 
     def parts(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -271,11 +291,13 @@ def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
     df = stored(posts.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "lists")
     short = stored(list_pairs(posts.join(df.filter(F.col("df") <= LIST).hint("merge"), "v", "left_semi").join(sketches.hint("merge"), "rep")).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
     long_lists = df.filter(F.col("df") > LIST).select("v")
-    hot = None
+    hot = bits = None
     if not long_lists.isEmpty():
         hot = posts.join(long_lists.hint("merge"), "v", "left_semi").withColumn("hot", F.count("*").over(Window.partitionBy("rep")))
         hot = stored(hot.join(sketches.hint("merge"), "rep").filter(F.col("hot") * 2 > F.col("have")).drop("hot", "have"), "hot")
-        pairs = stored(short.unionByName(leader_pairs(hot)).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
+        bits = parities(docs, hot.select(F.col("rep").alias("id")), k)
+        led = leader_pairs(hot).groupBy("a", "b").agg(F.max("est").alias("est"))
+        pairs = stored(short.unionByName(possible(led, bits)).groupBy("a", "b").agg(F.max("est").alias("est")), "pairs")
     else:
         pairs = short
     sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
@@ -289,7 +311,7 @@ def dedup(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "
     edges = edges.unionByName(more)
     label = components(edges)
     if hot is not None:
-        last = minor_links(hot, label, docs, k)
+        last = minor_links(hot, label, docs, k, bits)
         if last is not None:
             edges = edges.unionByName(last)
             label = components(edges)
