@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,14 +39,42 @@ def mcnemar(b: Column, c: Column) -> Column:
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of a 2 x 2 table: all tables of its margins that are as unlikely or more. 1 for an empty table."""
-    a, b, c, d = (x.cast("int") for x in (a, b, c, d))
+    """Two-sided exact p of a 2 x 2 table: all tables of its margins that are as unlikely or more. 1 for an empty table.
+
+    Terms are kept relative to the largest, from which they are worked out both ways, each from the one before; their sum
+    stands for 1. So the work is in proportion to the counts, twice: for the sum, and for what is as unlikely."""
+    a, b, c, d = (x.cast("long") for x in (a, b, c, d))
     row, one, two, n = a + b, a + c, b + d, a + b + c + d
-    all_ways = log_choose(n, row)
-    p = lambda x: F.exp(log_choose(one, x) + log_choose(two, row - x) - all_ways)
-    every = F.sequence(F.greatest(F.lit(0), row - two), F.least(row, one))
-    seen = let(p(a), lambda s: F.aggregate(F.transform(every, p), F.lit(0.0), lambda t, q: t + F.when(q <= s + 1e-12, q).otherwise(0.0)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), seen))
+    top = F.floor((row + 1).cast("double") * (one + 1) / (n + 2)).cast("long")
+    low, high = F.greatest(F.lit(0), row - two), F.least(row, one)
+    margins = F.struct(a.alias("a"), *(x.cast("double").alias(k) for k, x in (("row", row), ("one", one), ("rest", two - row))), low.alias("low"), high.alias("high"), F.least(F.greatest(top, low), high).alias("top"))
+    none = F.expr("cast(array() as array<bigint>)")
+
+    def walk(m: Column, start: Column, add: Callable[[Column, Column, Column], Column]) -> Column:
+        """Goes over the terms above the largest and then over those below it: add(sums, x, term) at each."""
+        begun = lambda sums: F.struct(F.lit(1.0).alias("term"), sums.alias("sums"))
+
+        def go(acc: Column, x: Column, ratio: Column) -> Column:
+            return let(acc["term"] * ratio, lambda term: F.struct(term.alias("term"), add(acc["sums"], x, term).alias("sums")))
+
+        up = lambda acc, x: go(acc, x, (m["one"] - x + 1) * (m["row"] - x + 1) / (x * (m["rest"] + x)))
+        down = lambda acc, x: go(acc, x, (x + 1) * (m["rest"] + x + 1) / ((m["one"] - x) * (m["row"] - x)))
+        above = F.when(m["top"] < m["high"], F.sequence(m["top"] + 1, m["high"])).otherwise(none)
+        below = F.when(m["top"] > m["low"], F.sequence(m["top"] - 1, m["low"], F.lit(-1).cast("long"))).otherwise(none)
+        return F.aggregate(below, begun(F.aggregate(above, begun(start), up)["sums"]), down)["sums"]
+
+    def as_unlikely(m: Column) -> Column:
+        two_sums = lambda total, seen: F.struct(total.alias("total"), seen.alias("seen"))
+        every = walk(m, two_sums(F.lit(1.0), F.when(m["a"] == m["top"], 1.0).otherwise(0.0)), lambda s, x, term: two_sums(s["total"] + term, F.when(x == m["a"], term).otherwise(s["seen"])))
+
+        def share(s: Column) -> Column:
+            most = s["seen"] / s["total"] + 1e-12
+            part = lambda term: let(term / s["total"], lambda q: F.when(q <= most, q).otherwise(0.0))
+            return walk(m, part(F.lit(1.0)), lambda t, x, term: t + part(term))
+
+        return let(every, share)
+
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), let(margins, as_unlikely)))
 
 
 def fisher_table(tables: DataFrame) -> DataFrame:

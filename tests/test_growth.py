@@ -1,10 +1,14 @@
 """Work that grows with the input and no faster."""
 
+import itertools
+import math
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import stats
 from graphloom.plans import catalogue
 
 
@@ -34,3 +38,27 @@ def test_file_detection_makes_no_pairs(plainly, tmp_path):
     df = catalogue.queries()["q_file_detection"](plainly, str(tmp_path))
     assert df.collect()[0].asDict() == {"n_files": 600, "n_detected": 600, "recall": 1.0, "missed": None}
     assert max(rows_made(plainly, df).values()) == 600
+
+
+def test_fisher_takes_time_in_proportion_to_the_counts(spark):
+    counts = (18_000, 15_000, 15_000, 12_300)
+    one_p = lambda t: stats.fisher_table(spark.createDataFrame([t], "a int, b int, c int, d int")).first().p
+    one_p((3, 1, 2, 4))
+    began = time.perf_counter()
+    got = one_p(counts)
+    assert time.perf_counter() - began < 30
+    a, b, c, d = counts
+    one, two, row, n = a + c, b + d, a + b, sum(counts)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    p = lambda x: math.exp(choose(one, x) + choose(two, row - x) - choose(n, row))
+    want = sum(q for x in range(max(0, row - two), min(row, one) + 1) if (q := p(x)) <= p(a) + 1e-12)
+    assert 0 < want < 1 and math.isclose(got, want, rel_tol=1e-6)
+
+
+def test_fisher_of_every_small_table(spark):
+    tables = list(itertools.product(range(5), repeat=4))
+    for r in stats.fisher_table(spark.createDataFrame(tables, "a int, b int, c int, d int")).collect():
+        one, two, row, n = r.a + r.c, r.b + r.d, r.a + r.b, r.a + r.b + r.c + r.d
+        p = lambda x: math.comb(one, x) * math.comb(two, row - x) / math.comb(n, row)  # noqa: B023, E731
+        want = min(1.0, sum(p(x) for x in range(max(0, row - two), min(row, one) + 1) if p(x) <= p(r.a) + 1e-12)) if n else 1.0
+        assert math.isclose(r.p, want, rel_tol=1e-9)
