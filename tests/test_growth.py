@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import stats
+from graphloom.operators import authorship, stats
 from graphloom.plans import catalogue
 
 
@@ -62,3 +62,11 @@ def test_fisher_of_every_small_table(spark):
         p = lambda x: math.comb(one, x) * math.comb(two, row - x) / math.comb(n, row)  # noqa: B023, E731
         want = min(1.0, sum(p(x) for x in range(max(0, row - two), min(row, one) + 1) if p(x) <= p(r.a) + 1e-12)) if n else 1.0
         assert math.isclose(r.p, want, rel_tol=1e-9)
+
+
+def test_uniform_style_takes_time_in_proportion_to_the_lines(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: F.concat(F.repeat(F.lit(" "), (4 * (i % 2)).cast("int")), F.lit("x"))), "\n")
+    df = spark.range(8).repartition(1).select(authorship.uniform_style(F.concat(text, F.col("id").cast("string"))).alias("score"))
+    began = time.perf_counter()
+    assert {r.score for r in df.collect()} == {0.7}
+    assert time.perf_counter() - began < 20
