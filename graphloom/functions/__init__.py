@@ -28,8 +28,8 @@ def lines(c: Column | str) -> Column:
 def split_lines(c: Column | str) -> Column:
     """Lines as Python's str.splitlines() gives them: no empty last line after a final line end."""
     c = F.col(c) if isinstance(c, str) else c
-    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    drop_last = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", -1), drop_last)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

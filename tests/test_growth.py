@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import spec
 from graphloom.operators import authorship, stats
 from graphloom.plans import catalogue
 
@@ -70,3 +71,11 @@ def test_uniform_style_takes_time_in_proportion_to_the_lines(spark):
     began = time.perf_counter()
     assert {r.score for r in df.collect()} == {0.7}
     assert time.perf_counter() - began < 20
+
+
+def test_every_pattern_is_counted_once_a_text(spark):
+    df = spark.createDataFrame([("+def f(x):\n+    return x",)], "diff string")
+    plan = authorship.analyze(df).select("confidence", "likely_ai")._jdf.queryExecution().optimizedPlan().toString()
+    for p in [*spec.DEFENSIVE_PATTERNS, *spec.RISKY_PATTERNS, *spec.COMMENT_PATTERNS]:
+        assert plan.count(f"{authorship.INSENSITIVE}{p}, 0)") == 1, p
+    assert plan.count(f"(?m){spec.FUNCTION_START}, 0)") == 1
