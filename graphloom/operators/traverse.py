@@ -18,6 +18,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(flipped(edges)).distinct()
 
 
+#: A frontier of up to so many nodes is sent to where the edges lie; edges are dealt out to meet a larger one.
+SENT = 1 << 18
+
+
+def stepped(edges: DataFrame, front: DataFrame, n: int) -> DataFrame:
+    """Nodes that edges from a frontier of n nodes lead to. Only edges that meet it are gathered."""
+    nodes = front.select(F.col("node").alias("src"))
+    return edges.select("src", "dst").join(F.broadcast(nodes) if n <= SENT else nodes, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, paths: bool = False, seen: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Nodes reached along src -> dst from ``starts`` (node, and the columns ``by``), with the least depth.
 
@@ -25,13 +35,17 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, paths: bool = False, se
     neither returns nor passes through. ``by``: separate searches, one for each value of these columns.
     """
     by = list(by)
-    step_edges = cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("node")).distinct())
+    plain = not paths and not by
+    step_edges = None if plain else cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("node")).distinct())
     empty = F.expr("cast(array() as array<string>)")
     front = starts.select(*by, "node", empty.alias("path"))
+    n = front.count() if plain else None
     out = None
     for d in range(1, depth + 1):
-        reached = front.withColumnRenamed("node", "_from").join(step_edges, "_from")
-        if paths:
+        reached = None if plain else front.withColumnRenamed("node", "_from").join(step_edges, "_from")
+        if plain:
+            reached = stepped(edges, front, n).withColumn("path", empty)
+        elif paths:
             reached = reached.groupBy(*by, "node").agg(F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("node")))
         else:
             reached = reached.select(*by, "node").distinct().withColumn("path", empty)
@@ -42,7 +56,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, paths: bool = False, se
         front = cut(reached)
         rows = front.withColumn("depth", F.lit(d))
         out = rows if out is None else out.unionByName(rows)
-        if front.isEmpty():
+        n = front.count() if plain else None
+        if n == 0 or (n is None and front.isEmpty()):
             break
     return out if paths else out.drop("path")
 
@@ -75,10 +90,22 @@ def neighborhood(edges: DataFrame, target: str, max_depth: int = 3, max_nodes: i
     if files is not None:
         some = some.union(files.join(some, "node", "left_semi").select(F.col("file").alias("node"))).distinct()
     some = cut(some)
-    inside = both_ways(edges).join(some.withColumnRenamed("node", "src"), "src", "left_semi").join(some.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    near = bfs(inside, start, 2 * max_depth + 2, seen=start).select("node", F.col("depth").alias("dist"))
-    ranked = some.join(near, "node", "left").withColumn("dist", F.when(F.col("node") == target, 0).otherwise(F.coalesce("dist", F.lit(999))))
-    return ranked.orderBy("dist", "node").limit(max_nodes)
+    # Without files every node is at most max_depth away, so what one step less does not reach is that far. Nodes beyond
+    # a step at which there are enough are none of the nearest.
+    rest, steps = (max_depth, max_depth - 1) if files is None else (999, 2 * max_depth + 2)
+    known, front, size, found = start.withColumn("dist", F.lit(0)), start, 1, 1
+    for d in range(1, steps + 1):
+        if size == 0 or found >= max_nodes:
+            break
+        met = stepped(edges, front, size).union(stepped(flipped(edges), front, size)).distinct()
+        front = cut(met.join(some, "node", "left_semi").join(known, "node", "left_anti"))
+        size = front.count()
+        found += size
+        known = known.unionByName(front.withColumn("dist", F.lit(d)))
+    if found < max_nodes:
+        known = some.join(known, "node", "left").withColumn("dist", F.coalesce("dist", F.lit(rest)))
+    ranked = known.orderBy("dist", "node")
+    return ranked.limit(max_nodes) if max(found, some.count()) > max_nodes else ranked
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

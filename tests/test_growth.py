@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import time
 from collections import Counter
 
@@ -9,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import spec
-from graphloom.operators import authorship, stats
-from graphloom.plans import catalogue
+from graphloom.operators import authorship, stats, traverse
+from graphloom.plans import catalogue, lineage
 
 
 def rows_made(spark, df):
@@ -79,3 +80,59 @@ def test_every_pattern_is_counted_once_a_text(spark):
     for p in [*spec.DEFENSIVE_PATTERNS, *spec.RISKY_PATTERNS, *spec.COMMENT_PATTERNS]:
         assert plan.count(f"{authorship.INSENSITIVE}{p}, 0)") == 1, p
     assert plan.count(f"(?m){spec.FUNCTION_START}, 0)") == 1
+
+
+def kept_rows(monkeypatch):
+    """Collects how many rows each cut of lineage writes."""
+    kept = []
+
+    def noted(df):
+        out = lineage.cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(traverse, "cut", noted)
+    return kept
+
+
+def test_neighborhood_keeps_no_copy_of_the_edges(spark, monkeypatch):
+    far = spark.range(3000).select(F.concat(F.lit("a"), "id").alias("src"), F.concat(F.lit("b"), "id").alias("dst"))
+    edges = far.union(spark.createDataFrame([("t", "u"), ("v", "t"), ("u", "w")], "src string, dst string")).distinct()
+    kept = kept_rows(monkeypatch)
+    got = traverse.neighborhood(edges, "t", 2, 1 << 30).collect()
+    assert [tuple(r) for r in got] == [("t", 0), ("u", 1), ("v", 1), ("w", 2)]
+    assert max(kept) <= 4
+
+
+def test_capped_neighborhood_stops_where_it_has_enough(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"v{i}", "t") for i in range(5)] + [(f"w{i}", "v0") for i in range(40)], "src string, dst string")
+    kept = kept_rows(monkeypatch)
+    got = traverse.neighborhood(edges, "t", 2, 4).collect()
+    assert [tuple(r) for r in got] == [("t", 0), ("v0", 1), ("v1", 1), ("v2", 1)]
+    assert sum(kept) < 150  # of the walk upstream and all around; not of the distances of the 40
+
+
+@pytest.mark.parametrize(("depth", "cap", "with_files", "sent"), [(1, 6, False, 1 << 18), (2, 9, False, 0), (3, 1000, False, 1 << 18), (2, 1000, True, 1 << 18), (1, 7, True, 0)])
+def test_neighborhood_as_walked_by_hand(spark, monkeypatch, depth, cap, with_files, sent):
+    monkeypatch.setattr(traverse, "SENT", sent)
+    draw = random.Random(depth * 100 + cap)
+    pairs = {(f"n{draw.randrange(30)}", f"n{draw.randrange(30)}") for _ in range(34)} | {("n3", "t"), ("t", "n4"), ("n4", "t")}
+    files = [(f"n{i}", f"f{i % 4}") for i in range(30)] + [("t", "f1")]
+    pairs |= {("f1", "n4"), ("f2", "n9")}
+
+    def walk(edges, seen, steps):
+        """Nodes by distance from t, not through those seen."""
+        out, front = {}, {"t"}
+        for d in range(1, steps + 1):
+            front = {b for a, b in edges if a in front} - seen - set(out)
+            out |= dict.fromkeys(front, d)
+        return out
+
+    up = {"t"} | set(walk({(b, a) for a, b in pairs}, {"t"}, depth))
+    some = up | set(walk(pairs, up, depth))
+    some |= {f for n, f in files if n in some} if with_files else set()
+    near = {"t": 0} | walk({x for a, b in pairs if {a, b} <= some for x in ((a, b), (b, a))}, {"t"}, 2 * depth + 2)
+    want = sorted((near.get(n, 999), n) for n in some)[:cap]
+    edges = spark.createDataFrame(sorted(pairs), "src string, dst string")
+    got = traverse.neighborhood(edges, "t", depth, cap, spark.createDataFrame(files, "node string, file string") if with_files else None).collect()
+    assert [(r.dist, r.node) for r in got] == want
